@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 _ONE = np.uint64(1)
-_BLOCK = 8  # words of 64 bits between two entries of the rank directory
+_BLOCK = 4  # words of 64 bits between two entries of the rank directory
 
 
 def _select_in_word(x: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -36,16 +36,18 @@ class Select:
     def __call__(self, k: np.ndarray) -> np.ndarray:
         block = np.searchsorted(self.directory, k, "right") - 1
         rest = k - self.directory[block]
-        at = block[:, None] * _BLOCK + np.arange(_BLOCK)
-        x = self.words[np.minimum(at, len(self.words) - 1)]
-        if self.flip:
-            x = ~x
-        sums = np.cumsum(np.bitwise_count(x), axis=1, dtype=np.int64)
-        w = (sums <= rest[:, None]).sum(axis=1)
-        w = np.minimum(w, _BLOCK - 1)
-        row = np.arange(len(k))
-        rest = rest - np.where(w > 0, sums[row, np.maximum(w - 1, 0)], 0)
-        return (block * _BLOCK + w) * 64 + _select_in_word(x[row, w], rest)
+        at = block * _BLOCK
+        x = self.words[at]
+        last = len(self.words) - 1
+        for j in range(1, _BLOCK):
+            ones = np.bitwise_count(~x if self.flip else x)
+            on = np.flatnonzero((rest >= ones) & (at == block * _BLOCK + j - 1))
+            if not len(on):
+                break
+            rest[on] -= ones[on]
+            at[on] += 1
+            x[on] = self.words[np.minimum(at[on], last)]
+        return at * 64 + _select_in_word(~x if self.flip else x, rest)
 
 
 class EliasFano:
@@ -107,10 +109,16 @@ class EliasFano:
         top = x >> np.uint64(self.low_bits)
         past = top >= np.uint64(self.tops)
         top = np.minimum(top, np.uint64(self.tops - 1)).astype(np.int64)
-        hi = self.zeros(top) - top
-        lo = np.zeros(len(x), np.int64)
+        # Where the bucket begins; it is as long as the run of ones from there, mostly within one word.
+        at = np.zeros(len(x), np.int64)
         some = np.flatnonzero(top > 0)
-        lo[some] = self.zeros(top[some] - 1) - (top[some] - 1)
+        at[some] = self.zeros(top[some] - 1) + 1
+        lo = at - top
+        word = self.high[np.minimum(at >> 6, len(self.high) - 1)] >> (at & 63).astype(np.uint64)
+        run = np.bitwise_count((word ^ (word + _ONE)) >> _ONE).astype(np.int64)
+        hi = lo + run
+        far = np.flatnonzero(run + (at & 63) >= 63)
+        hi[far] = self.zeros(top[far]) - top[far]
         end = hi.copy()
         want = x & np.uint64((1 << self.low_bits) - 1)
         open_ = np.flatnonzero(lo < hi)

@@ -56,13 +56,13 @@ def map_file(uri: str) -> list[np.ndarray]:
             _OPEN.clear()
         fs, path = pafs.FileSystem.from_uri(uri)
         if isinstance(fs, pafs.LocalFileSystem):
-            raw = np.memmap(path, np.uint8, "r")
+            raw = np.asarray(np.memmap(path, np.uint8, "r"))
         else:
             with tempfile.TemporaryFile() as own, fs.open_input_stream(path) as f:
                 while piece := f.read(1 << 24):
                     own.write(piece)
                 own.flush()
-                raw = np.memmap(own, np.uint8, "r")
+                raw = np.asarray(np.memmap(own, np.uint8, "r"))
         _OPEN[uri] = unpack(raw)
     return _OPEN[uri]
 
@@ -295,7 +295,7 @@ def _count_level(docs: DataFrame, level: Level, keys_of: Callable, part_of: Call
                 cols = list(zip(*out[at : at + 64], strict=True))
                 yield pa.record_batch([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["part", "once", "keys", "counts"])
 
-        for batch in batches(source, "text"):
+        for batch in batches(source, "text", 4_000_000):
             k = keys_of(*tokens(batch.column(0)))
             k, c = np.unique(k, return_counts=True)
             held[0].append(k)
@@ -400,7 +400,7 @@ def train(docs: DataFrame, order: int = 3, keep: int = 2, parts: int | None = No
     """
     spark = docs.sparkSession
     root = scratch_path(spark, "trie")
-    parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     trie = Trie(order=order)
     shift = np.float64(parts / 2.0**64)
     trie.levels.append(_count_level(docs, Level(root, "one"), lambda h, t: h, lambda k: np.minimum((k.astype(np.float64) * shift).astype(np.int64), parts - 1), parts, 1))
@@ -443,7 +443,7 @@ def score(docs: DataFrame, trie: Trie, columns: list[str]) -> DataFrame:
     """The columns named, and n_tokens, n_known, base_score and score of each row's text."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source, "__text"):
+        for batch in batches(source, "__text", 4_000_000):
             h, text = tokens(batch.column(batch.num_columns - 1))
             got = trie.score(h, text, batch.num_rows)
             out = [pa.array(got["n_tokens"], pa.int64()), pa.array(got["n_known"], pa.int64()), pa.array(got["base_score"]), pa.array(got["score"])]
