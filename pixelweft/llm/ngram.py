@@ -406,6 +406,7 @@ def train(docs: DataFrame, order: int = 3, keep: int = 2, parts: int | None = No
     trie.levels.append(_count_level(docs, Level(root, "one"), lambda h, t: h, lambda k: np.minimum((k.astype(np.float64) * shift).astype(np.int64), parts - 1), parts, 1))
     if order > 1:
         words = trie.levels[0]
+        parts = max(parts, trie.tokens // 20_000_000)
 
         def mass(k: np.ndarray) -> np.ndarray:
             """Where a pair stands in the running token count: equal shares, and a frequent first word is split."""
