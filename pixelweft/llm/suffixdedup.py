@@ -21,6 +21,7 @@ Texts are exchanged once, by shard; both steps that need them read the same exch
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,7 +99,7 @@ def _anchor_blobs(length: int, gram: int, parts: int):
                 cols = list(zip(*rows[at : at + 16], strict=True))
                 yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[3:]]], ["part", "first", "base", "ids", "sizes", "hashes", "places"])
 
-        for batch in batches(source, "text"):
+        for batch in batches(source, "text", 1_500_000):
             data, offsets = text_bytes(batch.column(1))
             places, h = anchors(data, offsets, length, gram)
             held.append((np.asarray(batch.column(0)).astype(np.int64), np.diff(offsets), places, h))
@@ -420,12 +421,12 @@ def _merge(length: int, gram: int):
             many, places = many[: len(lcp)], many[len(lcp) :]
             runs.append((lcp.tolist(), front_decode(lcp, b, width)))
             held.append((shard, np.frombuffer(c, np.int64).tolist(), _wide(d).tolist(), (np.cumsum(many) - many).tolist(), many.tolist(), places.tolist()))
-        found: dict[int, list] = {}
+        found: dict[int, array] = {}
 
         def mark(s: int, i: int, lo: int, hi: int) -> None:
             shard, _, rows, heads, many, places = held[s]
             for p in places[heads[i] : heads[i] + many[i]]:
-                found.setdefault(shard, []).append((rows[i], p - lo, p + hi))
+                found.setdefault(shard, array("q")).extend((rows[i], p - lo, p + hi))
 
         def settle(group: list[tuple[int, int, int]]) -> None:
             """Entries with one anchor string, sorted."""
@@ -464,7 +465,7 @@ def _merge(length: int, gram: int):
         if len(group) > 1:
             settle(group)
         for shard, rows in found.items():
-            x = np.array(rows, np.int64).reshape(-1, 3)
+            x = np.frombuffer(rows, np.int64).reshape(-1, 3)
             spans.setdefault(shard, []).append((x[:, 0], x[:, 1], x[:, 2]))
         out: list[tuple] = []
         for shard, many in spans.items():
@@ -510,7 +511,7 @@ def _cut(with_text: bool):
     return make
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 18, with_text: bool = False, shard_bytes: int = 12_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, with_text: bool = False, shard_bytes: int = 12_000_000) -> DataFrame:
     """Per row doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans and, if asked for, the bytes kept.
 
     A null text is empty. A row without a doc_id is neither searched nor cut. Rows with one doc_id don't count as
