@@ -72,6 +72,14 @@ def _wide(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
+def _squeeze(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
+
+
+def _loosen(raw: bytes, size: int) -> bytes:
+    return pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True)
+
+
 def _steps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x[:1])
 
@@ -241,7 +249,7 @@ def _runs(length: int, gram: int, parts: int):
                     pick = np.flatnonzero(part == p)
                     lcp, rest = front_code(keys[pick])
                     own = np.repeat(heads[pick] - (np.cumsum(many[pick]) - many[pick]), many[pick]) + np.arange(many[pick].sum())
-                    for k, v in zip(out, (int(p), shard, 0, lcp.tobytes(), rest.tobytes(), ids[doc[pick]].tobytes(), _narrow(doc[pick]), _narrow(np.concatenate([many[pick], places[own]]))), strict=True):
+                    for k, v in zip(out, (int(p), shard, 0, lcp.tobytes(), _squeeze(rest), _squeeze(ids[doc[pick]]), _narrow(doc[pick]), _narrow(np.concatenate([many[pick], places[own]]))), strict=True):
                         out[k].append(v)
                 if len(spans[0]):
                     for k, v in zip(out, (shard % parts, shard, 1, *_split(*spans), b"", b""), strict=True):
@@ -419,8 +427,8 @@ def _merge(length: int, gram: int):
             lcp = np.frombuffer(a, np.uint8)
             many = _wide(e)
             many, places = many[: len(lcp)], many[len(lcp) :]
-            runs.append((lcp.tolist(), front_decode(lcp, b, width)))
-            held.append((shard, np.frombuffer(c, np.int64).tolist(), _wide(d).tolist(), (np.cumsum(many) - many).tolist(), many.tolist(), places.tolist()))
+            runs.append((lcp.tolist(), front_decode(lcp, _loosen(b, len(lcp) * width - int(lcp.sum(dtype=np.int64))), width)))
+            held.append((shard, np.frombuffer(_loosen(c, 8 * len(lcp)), np.int64).tolist(), _wide(d).tolist(), (np.cumsum(many) - many).tolist(), many.tolist(), places.tolist()))
         found: dict[int, array] = {}
 
         def mark(s: int, i: int, lo: int, hi: int) -> None:
@@ -511,7 +519,7 @@ def _cut(with_text: bool):
     return make
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, with_text: bool = False, shard_bytes: int = 12_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 18, with_text: bool = False, shard_bytes: int = 12_000_000) -> DataFrame:
     """Per row doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans and, if asked for, the bytes kept.
 
     A null text is empty. A row without a doc_id is neither searched nor cut. Rows with one doc_id don't count as
