@@ -26,30 +26,35 @@ def mask(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, pos, leaf, line, b0..b7): the lines of each text that have a token, by place from 0."""
+    """(doc_id, th, pos, line, b0..b7): the lines of each text that have a token, by place from 0.
+
+    A band's hash includes the path to its leaf, so equal bands are of one leaf.
+    """
     each = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     each = each.select("doc_id", "th", "pos", F.btrim(mask(F.col("line")), F.lit(" \t\x0b\f\r")).alias("line")).where("line <> ''")
     each = each.select("doc_id", "th", "pos", F.split("line", r"[\x20\x09-\x0D]+").alias("t")).withColumn("n", F.size("t"))
+    each = each.withColumn("leaf", F.xxhash64("n", F.slice("t", 1, LEADING)))
     rest = F.greatest(F.col("n") - LEADING, F.lit(0))
     cut = lambda k: F.floor(rest * k / BANDS).cast("int")
-    bands = [F.xxhash64(F.slice("t", LEADING + 1 + cut(k), cut(k + 1) - cut(k))).alias(f"b{k}") for k in range(BANDS)]
-    leaf = F.xxhash64("n", F.slice("t", 1, LEADING)).alias("leaf")
-    return each.select("doc_id", "th", "pos", leaf, F.xxhash64("t").alias("line"), *bands)
+    bands = [F.hash("leaf", F.slice("t", LEADING + 1 + cut(k), cut(k + 1) - cut(k))).alias(f"b{k}") for k in range(BANDS)]
+    return each.select("doc_id", "th", "pos", F.xxhash64("t").alias("line"), *bands)
 
 
 def templates(lines: DataFrame) -> DataFrame:
     """(line, template) of the distinct lines that join another one."""
     names = [f"b{k}" for k in range(BANDS)]
-    own = lines.groupBy("line").agg(F.count(F.lit(1)).alias("many"), F.first("leaf").alias("leaf"), *[F.first(b).alias(b) for b in names])
-    own = materialize(own, "distinct-lines")
-    bands = F.array(*names)
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col("leaf"), F.col(f"b{2 * k}"), F.col(f"b{2 * k + 1}")) for k in range(BANDS // 2)])
-    keyed = own.select("line", "many", bands.alias("bands"), F.explode(keys).alias("key"))
+    own = materialize(lines.groupBy("line").agg(F.count(F.lit(1)).alias("many"), *[F.first(b).alias(b) for b in names]), "distinct-lines")
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col(f"b{2 * k}"), F.col(f"b{2 * k + 1}")) for k in range(BANDS // 2)])
+    # One exchange serves both the leads and their followers: bands stay behind until a pair is to be compared.
+    keyed = own.select("line", "many", F.explode(keys).alias("key")).repartition("key")
     # The most frequent line of a key leads it; the hash of the line settles ties, so reruns agree.
-    leads = keyed.groupBy("key").agg(F.min(F.struct((-F.col("many")).alias("m"), F.col("line").alias("lead"), "bands")).alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    leads = leads.select("key", F.col("x.m").alias("m"), F.col("x.lead").alias("lead"), F.col("x.bands").alias("other"))
+    leads = keyed.groupBy("key").agg(F.min(F.struct((-F.col("many")).alias("m"), F.col("line").alias("lead"))).alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    pairs = keyed.join(leads.select("key", "x.m", "x.lead"), "key").where("line <> lead").select("line", "m", "lead").distinct()
+    pairs = materialize(pairs, "line-pairs")
+    bands = own.select("line", F.array(*names).alias("bands"))
+    near = pairs.join(bands, "line").join(bands.select(F.col("line").alias("lead"), F.col("bands").alias("other")), "lead")
     same = sum((F.col("bands")[k] == F.col("other")[k]).cast("int") for k in range(BANDS))
-    near = keyed.join(leads, "key").where("line <> lead").withColumn("same", same).where(F.col("same") >= AGREE)
+    near = near.withColumn("same", same).where(F.col("same") >= AGREE)
     best = near.groupBy("line").agg(F.min(F.struct("m", (-F.col("same")).alias("s"), "lead")).alias("x"))
     return best.select("line", F.col("x.lead").alias("template"))
 
