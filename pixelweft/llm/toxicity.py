@@ -131,31 +131,41 @@ def train(texts: Iterable[str | None], grades: Iterable[int], ratio: float = 20.
     above 1 and grades that are only 0 and 1, grade 1 is split by the share of words that are cues, into that many
     grades with as many rows each. One grade only, or no rows: severity 0.
     """
-    counts = [Counter(words_of(t)) for t in texts]
+    texts = list(texts)
     y = np.array(list(grades), np.int64)
     if len(y) == 0 or y.max() == 0:
         return Model()
     memo: dict[str, list[str]] = {}
-    known = lambda w: memo.get(w) or memo.setdefault(w, word_features(w))
-    docs = [text_features(c, known) for c in counts]
+
+    def known(word: str) -> list[str]:
+        if len(memo) > 100_000:
+            memo.clear()
+        return memo.get(word) or memo.setdefault(word, word_features(word))
+
+    # Texts are read twice, and the features of one text are held at a time: a set of all would not fit the driver.
     low, high, n0, n1 = Counter(), Counter(), 0, 0
     once: set[tuple] = set()
-    for c, d, g in zip(counts, docs, y, strict=True):
-        mark = (min(g, 1), *_sketch(c))
+    for t, g in zip(texts, y, strict=True):
+        words = set(words_of(t))
+        mark = (min(g, 1), *_sketch(words))
         if mark in once:
             continue
         once.add(mark)
-        (high if g else low).update(d)
+        (high if g else low).update(text_features(sorted(words), known))
         n0, n1 = n0 + (g == 0), n1 + (g > 0)
     limit = 2.0 * np.log(max(2, len(high))) + 1.0
     lift = {f: _surprise(c, n1, low[f], n0) for f, c in high.items() if c * max(1, n0) >= ratio * (low[f] + 0.5) * n1}
     names = [f for f in sorted(lift, key=lambda f: (-lift[f], f)) if lift[f] > limit][:max_features]
-    index = {f: k for k, f in enumerate(names)}
-    own = [sorted(index[f] for f in d if f in index) for d in docs]
+    index, cues = {f: k for k, f in enumerate(names)}, dict.fromkeys(names, 1.0)
+    del low, high
+    own, rates = [], np.zeros(len(y))
+    for i, t in enumerate(texts):
+        c = Counter(words_of(t))
+        seen = text_features(c, known)
+        own.append(sorted(index[f] for f in seen if f in index))
+        rates[i] = share_value(cue_words(c, seen, cues, known), sum(c.values()))
     rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
     cols = np.array([k for x in own for k in x], np.int64)
-    cues = dict.fromkeys(names, 1.0)
-    rates = np.array([share_value(cue_words(c, d, cues, known), sum(c.values())) for c, d in zip(counts, docs, strict=True)])
     if levels > 1 and y.max() == 1:
         hit = np.flatnonzero((y == 1) & (rates > 0))
         y = y.copy()
