@@ -107,7 +107,7 @@ def allocate(pairs: list[float], widths: list[int], n: int, radius: int) -> tupl
 
     def cost(i: int, t: int) -> float:
         ways = sum(comb(widths[i], k) for k in range(t + 1))
-        return ways * (n * PROBE_COST + pairs[i] * VERIFY_COST)
+        return ways * (max(1, n) * PROBE_COST + pairs[i] * VERIFY_COST)
 
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for i in range(len(widths)):

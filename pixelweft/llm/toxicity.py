@@ -82,13 +82,12 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, grades: np.ndarray, n_features: int, l1: float = 2e-4, steps: int = 250, rate: float = 0.3) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights, weight of the dense column, thresholds: proximal Adagrad on the likelihood of grades 0..K.
 
-    Thresholds are a first one and positive gaps, so they stay in order. Classes weigh alike.
+    Thresholds are a first one and positive gaps, so they stay in order. Rows weigh alike: a text without cues is as likely toxic as in the sample.
     """
     n, top = len(grades), int(grades.max(initial=0))
     w, v, first, gaps = np.zeros(n_features), 0.0, 0.0, np.zeros(max(0, top - 1))
     held = [np.full(n_features, 1e-8), 1e-8, 1e-8, np.full(len(gaps), 1e-8)]
-    share = np.bincount(grades, minlength=top + 1)
-    weight = (1.0 / np.maximum(share, 1))[grades] / max(1, (share > 0).sum())
+    weight = np.full(n, 1.0 / max(1, n))
     for _ in range(steps):
         z = np.bincount(rows, w[cols], n) + v * dense
         t = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])[:top]
@@ -129,7 +128,7 @@ def train(texts: Iterable[str | None], grades: Iterable[int], ratio: float = 20.
     Features are those that stand `ratio` times as often in texts above grade 0 as in others, by more than chance
     gives the most striking of so many; near copies of one grade count once here. They are the cues. With `levels`
     above 1 and grades that are only 0 and 1, grade 1 is split by the share of words that are cues, into that many
-    grades with as many rows each. One grade only, or no rows: severity 0.
+    grades with as many rows each. One grade only, no rows or no cues: severity 0.
     """
     texts = list(texts)
     y = np.array(list(grades), np.int64)
@@ -156,6 +155,8 @@ def train(texts: Iterable[str | None], grades: Iterable[int], ratio: float = 20.
     limit = 2.0 * np.log(max(2, len(high))) + 1.0
     lift = {f: _surprise(c, n1, low[f], n0) for f, c in high.items() if c * max(1, n0) >= ratio * (low[f] + 0.5) * n1}
     names = [f for f in sorted(lift, key=lambda f: (-lift[f], f)) if lift[f] > limit][:max_features]
+    if not names:
+        return Model()
     index, cues = {f: k for k, f in enumerate(names)}, dict.fromkeys(names, 1.0)
     del low, high
     own, rates = [], np.zeros(len(y))
