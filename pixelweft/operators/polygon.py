@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -215,16 +217,23 @@ def convex_parts(points: list, ratio: float = 3.0) -> list[list]:
 
 
 def partition(polygons: DataFrame, into: str = "quads") -> DataFrame:
-    """(polygon_id, part, pos, y, x): convex parts, or convex parts peeled to at most four corners; a task a polygon."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        parts = convex_parts(list(zip(rows.y.tolist(), rows.x.tolist(), strict=True)))
-        if into == "quads":
-            parts = [q for p in parts for q in peel_quads(p)]
-        return pd.DataFrame([(rows.polygon_id.iloc[0], k, i, int(y), int(x)) for k, p in enumerate(parts) for i, (y, x) in enumerate(p)], columns=["polygon_id", "part", "pos", "y", "x"])
+    """(polygon_id, part, pos, y, x): convex parts, or convex parts peeled to at most four corners.
 
-    return polygons.groupBy("polygon_id").applyInPandas(run, f"polygon_id {polygons.schema['polygon_id'].dataType.simpleString()}, part int, pos int, y int, x int")
+    Polygons are independent: each becomes one array of corners, and a task works through batches of them.
+    """
+    whole = polygons.groupBy("polygon_id").agg(F.array_sort(F.collect_list(F.struct("pos", "y", "x"))).alias("p"))
+
+    def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in source:
+            out = []
+            for key, corners in zip(rows.polygon_id, rows.p, strict=True):
+                parts = convex_parts([(c["y"], c["x"]) for c in corners])
+                if into == "quads":
+                    parts = [q for p in parts for q in peel_quads(p)]
+                out += [(key, k, i, int(y), int(x)) for k, p in enumerate(parts) for i, (y, x) in enumerate(p)]
+            yield pd.DataFrame(out, columns=["polygon_id", "part", "pos", "y", "x"])
+
+    return whole.mapInPandas(run, f"polygon_id {polygons.schema['polygon_id'].dataType.simpleString()}, part int, pos int, y int, x int")
 
 
 def subdivide(quads: DataFrame, s: int = 2) -> DataFrame:
