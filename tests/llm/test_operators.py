@@ -306,7 +306,34 @@ def test_fingerprints_and_components_against_brute_force(spark):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicate_report(frame(spark, rows)).collect()}
     assert got == {i: (f"{fps[i]:016x}", root[i]) for i in fps}
     assert len(set(root.values())) < 100
+
+
+def test_one_of_each_similar_group_stays_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(1000, "", "s"), (1001, None, "s"), (1002, "one two", "s"), (1003, "ONE  two", "s"), (1004, "one two three", "s")]
+    for k, (n, rate, copies) in enumerate([(12, 0.02, 12), (40, 0.01, 15), (150, 0.02, 15), (400, 0.02, 15), (400, 0.004, 80), (3000, 0.022, 8), (60, 0.03, 15)]):
+        base = words(n, 50 + k).split()
+        for _ in range(copies):
+            text = [w if rng.random() > rate else words(1, rng.random()) for w in base]
+            rows.append((len(rows), (" ".join(text) + ("\nthe same closing passage " * 3 if k % 2 else "")).title(), "s"))
+    rows += [(2000 + i, words(150, 900 + i) + " the same closing passage of many documents here", "s") for i in range(30)]
+
+    def shingles(t):
+        w = WORD.findall((t or "").lower().encode())
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: shingles(t) for i, t, _ in rows}
+    root = {i: i for i in sets}
+    near = {a: [b for b in sets if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))] for a in sets}
+    change = True
+    while change:
+        change = False
+        for a in sets:
+            low = min(root[b] for b in near[a])
+            if low < root[a]:
+                root[a], change = low, True
     assert {r.doc_id for r in simhash.keep_one(frame(spark, rows)).collect()} == set(root.values())
+    assert 30 < len(set(root.values())) < 120
 
 
 def test_dense_groups_link_like_brute_force():
