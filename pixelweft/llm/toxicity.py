@@ -137,7 +137,7 @@ def train(texts: Iterable[str | None], grades: Iterable[int], ratio: float = 20.
     memo: dict[str, list[str]] = {}
 
     def known(word: str) -> list[str]:
-        if len(memo) > 100_000:
+        if len(memo) > 10_000:
             memo.clear()
         return memo.get(word) or memo.setdefault(word, word_features(word))
 
