@@ -7,6 +7,7 @@ inflected form counts as well), each 0 or 1, and one number, the share of words
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -141,7 +142,7 @@ def train(texts: Iterable[str | None], grades: Iterable[int], ratio: float = 20.
             memo.clear()
         return memo.get(word) or memo.setdefault(word, word_features(word))
 
-    # Texts are read twice, and the features of one text are held at a time: a set of all would not fit the driver.
+    # Texts are read twice, and the features of one text are held at a time: a set of all would take too much memory.
     low, high, n0, n1 = Counter(), Counter(), 0, 0
     once: set[tuple] = set()
     for t, g in zip(texts, y, strict=True):
@@ -190,11 +191,20 @@ def sample(docs: DataFrame, labels: DataFrame, grade: Column, per_grade: int, gr
 def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 3000, levels: int = 3) -> Model:
     """The model for labels toxic 0 and 1, from at most `per_grade` labelled documents of each: the bound of the fit.
 
+    One task fits these rows, so their texts and features take no memory of the driver, which gets the model only.
     Labels that are null, name no document or name one twice: left out, left out, the higher counts.
     """
-    got = sample(docs, labels, F.col("toxic").cast("int"), per_grade, 2).collect()
-    got.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return train([r.text for r in got], [r.grade for r in got], levels=levels)
+    rows = sample(docs, labels, F.col("toxic").cast("int"), per_grade, 2)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [row for batch in source for row in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+        got.sort(key=lambda r: (r[2], r[0] or ""))
+        if got:
+            model = train([r[0] for r in got], [r[1] for r in got], levels=levels)
+            yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    fitted = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(fitted[0].model)) if fitted else Model()
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
