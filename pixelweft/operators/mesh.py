@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .polygon import edges as polygon_edges
 
+#: Bits of a pixel in which edges are halved while triangles become quads.
+FRACTION = 20
+
 
 def rank_bucketed(rows: DataFrame, order: list[str], out: str, bucket: str, width: int = 64) -> DataFrame:
     """Numbers distinct rows from 0 in the given order, whose first column is `bucket`.
@@ -145,35 +148,45 @@ def _middle(p: tuple[int, int], q: tuple[int, int]) -> tuple[int, int]:
 
 
 def triangles_to_quads(polygons: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
-    """Turns a mesh of triangles and quads into quads.
+    """Turns a mesh of triangles and quads into quads: see `owned_quads`."""
+    return [p for _, p in owned_quads(polygons)]
+
+
+def owned_quads(polygons: list[list[tuple[int, int]]]) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Turns a mesh of triangles and quads into quads, each with the place of the polygon that it is a part of.
 
     A triangle at the rim gets the middle of its rim edge as a corner. From every triangle left a search spreads, one
     layer at a time, over shared edges; the first that meets another triangle or the rim is cut along: quads on the
     way split at the middles of the edges that the way crosses, two opposite ones into two, two adjacent ones into
     three around their centre; the ends take up the middle of the edge they are entered by.
     """
-    polys = [list(p) for p in polygons]
-
-    def owners() -> dict[tuple, list[int]]:
-        out: dict[tuple, list[int]] = {}
-        for k, p in enumerate(polys):
-            for a, b in zip(p, [*p[1:], p[0]], strict=True):
-                out.setdefault((min(a, b), max(a, b)), []).append(k)
-        return out
+    polys = {k: list(p) for k, p in enumerate(polygons)}
+    owner = {k: k for k in polys}
+    own: dict[tuple, list[int]] = {}
 
     def edges_of(p: list) -> list[tuple]:
         return [(min(a, b), max(a, b)) for a, b in zip(p, [*p[1:], p[0]], strict=True)]
 
-    own = owners()
-    for k, p in enumerate(polys):
+    def enter(k: int) -> None:
+        for e in edges_of(polys[k]):
+            own.setdefault(e, []).append(k)
+
+    def leave(k: int) -> None:
+        for e in edges_of(polys[k]):
+            own[e].remove(k)
+
+    for k in polys:
+        enter(k)
+    for k, p in list(polys.items()):
         if len(p) == 3:
             for i, e in enumerate(edges_of(p)):
                 if len(own[e]) == 1:
+                    leave(k)
                     polys[k] = [*p[: i + 1], _middle(*e), *p[i + 1 :]]
+                    enter(k)
                     break
-    while any(len(p) == 3 for p in polys):
-        own = owners()
-        fronts = {k: {k: (None, None)} for k, p in enumerate(polys) if len(p) == 3}
+    while any(len(p) == 3 for p in polys.values()):
+        fronts = {k: {k: (None, None)} for k, p in polys.items() if len(p) == 3}
         layer = {k: [k] for k in fronts}
         found = None
         while found is None and any(layer.values()):
@@ -199,17 +212,62 @@ def triangles_to_quads(polygons: list[list[tuple[int, int]]]) -> list[list[tuple
             break
         t, k, rim = found
         way = []
-        leave = rim
+        out = rim
         while k is not None:
-            back, enter = fronts[t][k]
-            way.append((k, enter, leave))
-            k, leave = back, enter
-        new = []
+            back, entry = fronts[t][k]
+            way.append((k, entry, out))
+            k, out = back, entry
         for k, a, b in way:
-            new += _split(polys[k], [e for e in (a, b) if e])
-        gone = {w[0] for w in way}
-        polys = [p for i, p in enumerate(polys) if i not in gone] + new
-    return polys
+            new = _split(polys[k], [e for e in (a, b) if e])
+            leave(k)
+            del polys[k]
+            for p in new:
+                m = len(owner)
+                polys[m], owner[m] = p, owner[k]
+                enter(m)
+    return [(owner[k], p) for k, p in polys.items()]
+
+
+def quads_of_pieces(pieces: list[list[tuple[int, int]]], ratio: float = 0.05) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Smooths one mesh of pieces of at most four corners and turns it into quads, each with the place of its piece.
+
+    Corners that smoothing has put on one point are one corner; pieces of less than three have no area and go. Halving
+    counts in parts of a pixel, so short edges don't vanish, and is cut to whole numbers at the end. A triangle that
+    nothing reaches gets the middle of its first edge as a corner.
+    """
+    to = smooth_points(pieces, ratio)
+    kept = []
+    for i, p in enumerate(pieces):
+        q = [to[c] for c in p]
+        q = [c for c, before in zip(q, [q[-1], *q[:-1]], strict=True) if c != before]
+        if len(set(q)) > 2 and len(set(q)) == len(q):
+            kept.append((i, [(y << FRACTION, x << FRACTION) for y, x in q]))
+    out = []
+    for k, p in owned_quads([p for _, p in kept]):
+        p = p if len(p) != 3 else [p[0], _middle(p[0], p[1]), *p[1:]]
+        out.append((kept[k][0], [(y >> FRACTION, x >> FRACTION) for y, x in p]))
+    return out
+
+
+def quad_mesh(parts: DataFrame, group: str, ratio: float = 0.05) -> DataFrame:
+    """(group, polygon_id, part, pos, y, x): quads of all the pieces (group, polygon_id, part, pos, y, x), numbered anew
+    in each polygon. A group is one mesh, worked through in one task."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["polygon_id", "part", "pos"], ignore_index=True)
+        names, pieces = [], []
+        for (key, _), g in rows.groupby(["polygon_id", "part"], sort=False):
+            names.append(key)
+            pieces.append(list(zip(g.y.tolist(), g.x.tolist(), strict=True)))
+        numbers: dict = {}
+        out = []
+        for k, q in quads_of_pieces(pieces, ratio):
+            part = numbers[names[k]] = numbers.get(names[k], -1) + 1
+            out += [(rows[group].iloc[0], names[k], part, i, y, x) for i, (y, x) in enumerate(q)]
+        return pd.DataFrame(out, columns=[group, "polygon_id", "part", "pos", "y", "x"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in parts.schema}
+    return parts.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, polygon_id {kinds['polygon_id']}, part int, pos int, y int, x int")
 
 
 def _split(p: list, cuts: list[tuple]) -> list[list]:

@@ -44,14 +44,21 @@ def region_polygons(pixels: DataFrame, options: Options | None = None) -> DataFr
 
 
 def mesh_quads(pixels: DataFrame, options: Options | None = None) -> DataFrame:
-    """(polygon_id, part, ti, bi, pos, y, x): quads of all regions, subdivided."""
+    """(polygon_id, ti, bi, pos, y, x): quads of all regions, subdivided; polygon_id names the image, region and part.
+
+    Each image is one mesh: pieces of at most four corners, smoothed; triangles turned into quads; subdivided; smoothed.
+    """
     o = options or Options()
     polys = region_polygons(pixels, o)
     good = polygon.measures(polys).where("valid").select("polygon_id")
     parts = polygon.partition(polys.join(good, "polygon_id", "left_semi"), "quads")
-    four = parts.withColumn("polygon_id", F.concat_ws("/", "polygon_id", "part")).drop("part")
-    whole = four.groupBy("polygon_id").count().where("count = 4").select("polygon_id")
-    return polygon.subdivide(four.join(whole, "polygon_id", "left_semi"), o.polygon_subdivisions)
+    parts = parts.withColumn("group_id", F.regexp_replace("polygon_id", "/[^/]*$", ""))
+    quads = settle(mesh.quad_mesh(parts, "group_id", o.mesh_smooth_convergence_ratio), "quads")
+    named = quads.select(F.concat_ws("/", "polygon_id", "part").alias("polygon_id"), "pos", "y", "x")
+    fine = polygon.subdivide(named, o.polygon_subdivisions).withColumn("polygon_id", F.concat_ws("/", "polygon_id", "ti", "bi")).drop("ti", "bi")
+    fine = mesh.smooth(fine.withColumn("group_id", F.regexp_replace("polygon_id", "(/[^/]*){4}$", "")), "group_id", o.mesh_smooth_convergence_ratio)
+    at = lambda k: F.substring_index(F.substring_index("polygon_id", "/", -k), "/", 1).cast("int")
+    return fine.select(F.regexp_replace("polygon_id", "(/[^/]*){2}$", "").alias("polygon_id"), at(2).alias("ti"), at(1).alias("bi"), "pos", "y", "x")
 
 
 def void_edges(polygons: DataFrame) -> DataFrame:

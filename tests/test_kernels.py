@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pixelweft.operators import borders, color, mesh, polygon, polyline, regions, spatial, stencil
 from pixelweft.sources.images import Options, default_output, png
@@ -82,6 +83,33 @@ def test_triangles_become_quads():
     assert all(len(p) == 4 for p in mesh.triangles_to_quads(strip))
 
 
+def test_quads_of_pieces_cover_triangles():
+    area = lambda p: abs(sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(p, [*p[1:], p[0]], strict=True))) / 2
+    ring = [(0, 0), (0, 40), (0, 80), (40, 80), (80, 80), (80, 40), (80, 0), (40, 0)]
+    fan = [[(41, 43), a, b] for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)]
+    inner = [[(20, 20), (20, 60), (60, 60)], [(20, 20), (60, 60), (60, 20)]]
+    rim = [[(0, 0), (0, 80), (20, 60), (20, 20)], [(0, 80), (80, 80), (60, 60), (20, 60)], [(80, 80), (80, 0), (60, 20), (60, 60)], [(80, 0), (0, 0), (20, 20), (60, 20)]]
+    short = [[(0, 0), (0, 1), (1, 0)], [(0, 1), (1, 1), (1, 0)]]
+    for pieces, whole in ((fan, 6400), (inner + rim, 6400), (inner[:1] + [[(20, 20), (60, 60), (60, 20)]] + rim, 6400), (short, 1)):
+        got = mesh.quads_of_pieces(pieces)
+        assert all(len(q) == 4 for _, q in got) and {k for k, _ in got} == set(range(len(pieces)))
+        assert sum(area(q) for _, q in got) == pytest.approx(whole, abs=2)
+
+
+def test_mesh_covers_the_region_polygons(spark):
+    from pixelweft.plans import pipeline
+    from pixelweft.sources import fixtures
+
+    px = fixtures.pixels(spark, "/root/testdata/sf0.001")
+    polys = pipeline.settle(pipeline.region_polygons(px))
+    area = lambda df, keys: {r.k: r.a for r in polygon.measures(df.withColumn("polygon_id", F.concat_ws("/", *keys))).where("n > 2").groupBy(F.expr("concat_ws('/', slice(split(polygon_id, '/'), 1, 2))").alias("k")).agg((F.sum(F.abs("area2")) / 2).alias("a")).collect()}
+    whole = area(polys.join(polygon.measures(polys).where("valid").select("polygon_id"), "polygon_id", "left_semi"), ["polygon_id"])
+    quads = pipeline.settle(pipeline.mesh_quads(px))
+    got = area(quads, ["polygon_id", "ti", "bi"])
+    assert {r["count"] for r in quads.groupBy("polygon_id", "ti", "bi").count().collect()} == {4}
+    assert set(got) == set(whole) and sum(got.values()) == pytest.approx(sum(whole.values()), rel=0.05)
+
+
 def test_rare_values_fold_in_order(spark):
     rows = [(0, 1 + i // 10, i % 10, v, v, v, 255) for i, v in enumerate([10] * 50 + [20] + [23] + [30] * 48)]
     p = spark.createDataFrame(rows, "image_id int, y int, x int, r int, g int, b int, a int")
