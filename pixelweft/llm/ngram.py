@@ -32,6 +32,8 @@ from .eliasfano import EliasFano, pack, unpack
 
 #: The hash of the end of a text, and by how much counts are discounted.
 END, DISCOUNT = np.uint64(0x9D39247E33776D41), 0.75
+#: Entries of a segment that are worked on at a time.
+ROOM = 1 << 19
 
 
 # --- files -----------------------------------------------------------------------------------------------------------
@@ -307,11 +309,22 @@ def _count_level(docs: DataFrame, level: Level, keys_of: Callable, part_of: Call
         yield from flush()
 
     def gather(table: pa.Table) -> pa.Table:
-        once = [np.frombuffer(x, np.uint64) for x in table["once"].to_pylist()]
-        many = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
-        counts = [np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()]
-        k, c = _merge([*once, *many], [*[np.ones(len(x), np.int64) for x in once], *counts])
-        k, c = k[c >= keep], c[c >= keep]
+        once, many, counts = ([np.frombuffer(x.as_buffer(), kind) for x in table[name]] for name, kind in (("once", np.uint64), ("keys", np.uint64), ("counts", np.int64)))
+        # Most keys stand once: they are sorted in place, and the others put in between.
+        k = np.concatenate(once)
+        k.sort()
+        head = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, int)
+        c = np.diff(np.append(head, len(k)))
+        k = k[head]
+        del head
+        more, times = _merge(many, counts)
+        at = np.searchsorted(k, more)
+        same = np.append(k, more[:1])[at] == more if len(more) else np.zeros(0, bool)
+        same &= at < len(k)
+        c[at[same]] += times[same]
+        k, c = np.insert(k, at[~same], more[~same]), np.insert(c, at[~same], times[~same])
+        if keep > 1:
+            k, c = k[c >= keep], c[c >= keep]
         part = table["part"][0].as_py()
         if len(k):
             sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(c)])
@@ -352,14 +365,17 @@ def _finish(spark: SparkSession, trie: Trie, upper: int) -> int:
     width = trie.vocabulary if upper == 0 else trie.span
 
     def one(s: int, a: int, n: int) -> int:
-        heads = np.arange(a, a + n + 1, dtype=np.uint64) * np.uint64(width)
-        at, _ = down.find(heads)
+        at, rest = np.empty(n + 1, np.int64), np.empty(n)
+        for lo in range(0, n + 1, ROOM):
+            hi = min(lo + ROOM, n + 1)
+            at[lo:hi], _ = down.find(np.arange(a + lo, a + hi, dtype=np.uint64) * np.uint64(width))
         if a + n == up.n:
             at[-1] = down.n
-        seen = np.diff(down.before(at)) if down.n else np.zeros(n, np.int64)
         many = np.diff(at)
-        places = np.arange(a, a + n)
-        rest = 1.0 - (seen - DISCOUNT * many) / np.maximum(up.counts(places), 1)
+        for lo in range(0, n, ROOM):
+            hi = min(lo + ROOM, n)
+            seen = np.diff(down.before(at[lo : hi + 1])) if down.n else np.zeros(hi - lo, np.int64)
+            rest[lo:hi] = 1.0 - (seen - DISCOUNT * many[lo:hi]) / np.maximum(up.counts(np.arange(a + lo, a + hi)), 1)
         ptr = EliasFano.encode((at - at[0]).astype(np.uint64))
         write_file(up.uri(up.files[s], "down"), pack([*quantise(np.log10(np.maximum(rest, 1e-9))), *ptr, np.array([at[0]], np.int64)]))
         return int(many.max()) if n else 0
@@ -372,9 +388,8 @@ def _probabilities(spark: SparkSession, trie: Trie, at: int) -> None:
     level, up = trie.levels[at], trie.levels[at - 1]
     words = trie.levels[0]
 
-    def one(s: int, a: int, n: int) -> int:
-        for_all = np.arange(a, a + n)
-        keys, counts = level.keys(for_all), level.counts(for_all)
+    def some(places: np.ndarray) -> np.ndarray:
+        keys, counts = level.keys(places), level.counts(places)
         width = np.uint64(trie.vocabulary if at == 1 else trie.span)
         context, own = (keys // width).astype(np.int64), (keys % width).astype(np.int64)
         heads, back = np.unique(context, return_inverse=True)
@@ -386,17 +401,23 @@ def _probabilities(spark: SparkSession, trie: Trie, at: int) -> None:
             second = (up.keys(heads) % np.uint64(trie.vocabulary)).astype(np.int64)
             lower = up.prob(words.pointer(second)[back] + own)
         p = (counts - DISCOUNT) / weight + 10.0 ** (rest + lower)
-        write_file(level.uri(level.files[s], "prob"), pack(quantise(np.log10(np.minimum(p, 1.0)))))
+        return np.log10(np.minimum(p, 1.0))
+
+    def one(s: int, a: int, n: int) -> int:
+        p = np.empty(n)
+        for lo in range(0, n, ROOM):
+            p[lo : lo + ROOM] = some(np.arange(a + lo, a + min(lo + ROOM, n)))
+        write_file(level.uri(level.files[s], "prob"), pack(quantise(p)))
         return 0
 
     _over_segments(spark, level, one)
 
 
-def train(docs: DataFrame, order: int = 3, keep: int = 2, parts: int | None = None) -> Trie:
+def train(docs: DataFrame, order: int = 3, keep: int = 1, parts: int | None = None) -> Trie:
     """Learns from the column text of all rows of `docs` (null: empty).
 
     Files go to the folder that driver and executors share. `keep`: n-grams of two and three words seen less often
-    are dropped from the trie (single words never are); what they held backs off. No rows: every word is unknown.
+    are dropped from the trie (single words never are); what they held backs off. 1 drops none. No rows: every word is unknown.
     """
     spark = docs.sparkSession
     root = scratch_path(spark, "trie")
@@ -406,7 +427,7 @@ def train(docs: DataFrame, order: int = 3, keep: int = 2, parts: int | None = No
     trie.levels.append(_count_level(docs, Level(root, "one"), lambda h, t: h, lambda k: np.minimum((k.astype(np.float64) * shift).astype(np.int64), parts - 1), parts, 1))
     if order > 1:
         words = trie.levels[0]
-        parts = max(parts, trie.tokens // 20_000_000)
+        parts = max(parts, trie.tokens // 4_000_000)
 
         def mass(k: np.ndarray) -> np.ndarray:
             """Where a pair stands in the running token count: equal shares, and a frequent first word is split."""
@@ -459,7 +480,7 @@ def held_out(key: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def score_report(docs: DataFrame, order: int = 3, keep: int = 2) -> DataFrame:
+def score_report(docs: DataFrame, order: int = 3, keep: int = 1) -> DataFrame:
     """Scores all documents with a model learnt from those not held out. Null texts are empty: one token, the end."""
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out())
     trie = train(docs.where(~F.col("held_out")), order, keep)

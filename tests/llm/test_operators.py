@@ -186,6 +186,19 @@ def test_lm_probabilities_match_counts_and_sum_to_one(spark):
         assert s == pytest.approx(want, abs=0.02 * len(w))
 
 
+def test_lm_report_counts_what_training_has_once(spark):
+    """Each pair and triple of the training rows is in the model of the report, also those seen once."""
+    rows = [(i, " ".join(random.Random(i).choices([f"w{k}" for k in range(60)], k=25)), "s") for i in range(60)]
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    tok = [[*t.split(), None] for _, t, _ in learnt]
+    bi, tri = (collections.Counter(tuple(t[k : k + n]) for t in tok for k in range(len(t) - n + 1)) for n in (2, 3))
+    assert min(bi.values()) == min(tri.values()) == 1
+    trie = ngram.train(frame(spark, learnt), 3, 1)
+    assert (trie.levels[1].n, trie.levels[2].n) == (len(bi), len(tri))
+    want = {r.doc_id: r.score for r in ngram.score(frame(spark, rows), trie, ["doc_id"]).collect()}
+    assert {r.doc_id: r.score for r in ngram.score_report(frame(spark, rows)).collect()} == pytest.approx(want)
+
+
 def test_html_layout():
     page = """<html><head><title>T</title><style>.gone{display:none}</style></head><body><h1>Head</h1><p>one <b>two<p>three &amp; <i>four</i>
     <ul><li>a<li>b<ol start=3><li>c<li>d</ol></ul><div class="gone">x</div><p hidden>y</p><p style="display: none">z</p><script>var a="<p>no";</script>
