@@ -2,16 +2,20 @@
 
 A line's path in the tree is fixed in depth: its number of tokens, then its leading tokens; a token with a digit is a
 variable field and becomes <*>. A leaf holds the lines of one path. Tokens behind the leading ones are cut into
-`BANDS` bands (single tokens in lines of up to as many); lines of a leaf belong to one template if at least `AGREE`
-bands are equal at their places, and bands in which they differ become fields of the template as well.
-
-A line joins the most frequent line of its leaf that it agrees with. If 5 of 8 bands agree, one of four pairs of
-bands agrees in full, so that line is sought among the most frequent ones under each of four keys: aggregates and
-joins by key, no pairs within a leaf.
+`BANDS` bands (single tokens in lines of up to as many, and then fewer of them); lines of a leaf belong to one template
+if at least `AGREE` of `BANDS` of the bands that have tokens are equal at their places, and bands in which they differ
+become fields of the template as well.
+
+Lines are taken by frequency: one that agrees with no lead is a lead itself, others join the most frequent lead that
+they agree with. Lines agree if they have all bands of some choice in common, so each choice of as many bands as must
+agree is a key, and all lines under a key agree. Leads are elected in rounds: a line that comes first under all its
+keys is one, and the lines under its keys are settled. Aggregates and joins by key, no pairs within a leaf.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +32,7 @@ def mask(line: Column) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, th, pos, line, b0..b7): the lines of each text that have a token, by place from 0.
 
-    A band's hash includes the path to its leaf, so equal bands are of one leaf.
+    A band's hash includes the path to its leaf, so equal bands are of one leaf. Bands without tokens are null.
     """
     each = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     each = each.select("doc_id", "th", "pos", F.btrim(mask(F.col("line")), F.lit(" \t\x0b\f\r")).alias("line")).where("line <> ''")
@@ -36,27 +40,43 @@ def lines_of(docs: DataFrame) -> DataFrame:
     each = each.withColumn("leaf", F.xxhash64("n", F.slice("t", 1, LEADING)))
     rest = F.greatest(F.col("n") - LEADING, F.lit(0))
     cut = lambda k: F.floor(rest * k / BANDS).cast("int")
-    bands = [F.hash("leaf", F.slice("t", LEADING + 1 + cut(k), cut(k + 1) - cut(k))).alias(f"b{k}") for k in range(BANDS)]
+    bands = [F.when(cut(k + 1) > cut(k), F.hash("leaf", F.slice("t", LEADING + 1 + cut(k), cut(k + 1) - cut(k)))).alias(f"b{k}") for k in range(BANDS)]
     return each.select("doc_id", "th", "pos", F.xxhash64("t").alias("line"), *bands)
 
 
+def choices(filled: int) -> list[tuple[int, ...]]:
+    """Every choice of as many bands as must agree, of those that have tokens in lines with so many filled bands."""
+    own = [k for k in range(BANDS) if filled * (k + 1) // BANDS > filled * k // BANDS]
+    return list(combinations(own, -(-filled * AGREE // BANDS)))
+
+
 def templates(lines: DataFrame) -> DataFrame:
     """(line, template) of the distinct lines that join another one."""
     names = [f"b{k}" for k in range(BANDS)]
     own = materialize(lines.groupBy("line").agg(F.count(F.lit(1)).alias("many"), *[F.first(b).alias(b) for b in names]), "distinct-lines")
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col(f"b{2 * k}"), F.col(f"b{2 * k + 1}")) for k in range(BANDS // 2)])
-    # One exchange serves both the leads and their followers: bands stay behind until a pair is to be compared.
-    keyed = own.select("line", "many", F.explode(keys).alias("key")).repartition("key")
-    # The most frequent line of a key leads it; the hash of the line settles ties, so reruns agree.
-    leads = keyed.groupBy("key").agg(F.min(F.struct((-F.col("many")).alias("m"), F.col("line").alias("lead"))).alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    pairs = keyed.join(leads.select("key", "x.m", "x.lead"), "key").where("line <> lead").select("line", "m", "lead").distinct()
-    pairs = materialize(pairs, "line-pairs")
-    bands = own.select("line", F.array(*names).alias("bands"))
-    near = pairs.join(bands, "line").join(bands.select(F.col("line").alias("lead"), F.col("bands").alias("other")), "lead")
-    same = sum((F.col("bands")[k] == F.col("other")[k]).cast("int") for k in range(BANDS))
-    near = near.withColumn("same", same).where(F.col("same") >= AGREE)
-    best = near.groupBy("line").agg(F.min(F.struct("m", (-F.col("same")).alias("s"), "lead")).alias("x"))
-    return best.select("line", F.col("x.lead").alias("template"))
+    # Lines that agree differ in at most three bands and have one of four pairs of bands in common: others are left out.
+    pairs = [F.when(F.coalesce(f"b{k}", f"b{k + 1}").isNotNull(), F.xxhash64(F.lit(k), F.col(f"b{k}"), F.col(f"b{k + 1}"))) for k in range(0, BANDS, 2)]
+    keyed = own.select("line", F.explode(F.array_compact(F.array(*pairs))).alias("key")).repartition("key")
+    met = keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "key", "left_semi")
+    own = materialize(own.join(met.select("line").distinct(), "line", "left_semi"), "lines-that-meet")
+    filled = sum(F.col(b).isNotNull().cast("int") for b in names)
+    keys = F.array().cast("array<bigint>")
+    for n in range(1, BANDS + 1):
+        keys = F.when(filled == n, F.array(*[F.xxhash64(F.lit(sum(1 << k for k in c)), *[F.col(f"b{k}") for k in c]) for c in choices(n)])).otherwise(keys)
+    keyed = own.select("line", (-F.col("many")).alias("m"), F.explode(keys).alias("key")).repartition("key")
+    # One line under a key: nobody to agree with. The most frequent comes first; the line's hash settles ties, so reruns agree.
+    keyed = materialize(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "key", "left_semi").select("line", "m", "key"), "agreeing-lines")
+    left, leads = keyed, keyed.select("line").limit(0)
+    while not left.isEmpty():
+        first = left.groupBy("key").agg(F.min(F.struct("m", "line")).alias("x"))
+        new = left.join(first, "key").groupBy("line").agg(F.bool_and(F.col("x.line") == F.col("line")).alias("lead")).where("lead").select("line")
+        new = materialize(new, "leads")
+        under = left.join(new, "line", "left_semi").select("key").distinct()
+        left = materialize(left.join(left.join(under, "key", "left_semi").select("line").distinct(), "line", "left_anti"), "lines-without-lead")
+        leads = leads.union(new)
+    led = keyed.join(leads, "line", "left_semi").select("key", F.struct("m", F.col("line").alias("lead")).alias("x"))
+    best = keyed.join(led, "key").groupBy("line").agg(F.min("x").alias("x"))
+    return best.select("line", F.col("x.lead").alias("template")).where("line <> template")
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:

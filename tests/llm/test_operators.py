@@ -133,6 +133,36 @@ def test_line_templates_generalise_fields(spark):
     assert all(t.startswith(prose[i]) and "Posted" not in t for i, t in kept.items())
 
 
+def test_unlike_short_lines_with_two_words_in_common_stay(spark):
+    rows = [(i, "She said " + words(3, 700 + i) + f"\nWe thank {words(1, i)} so much", "s") for i in range(40)]
+    assert {tuple(r.dropped) for r in linedrop.recurring_lines(frame(spark, rows), 10).collect()} == {(1,)}
+    assert {len(c) for n in range(1, 8) for c in linedrop.choices(n) if 8 * len(c) < 5 * n} == set()
+
+
+def test_templates_are_not_left_in_fragments(spark):
+    rows = [(i, f"This article was {words(1, 5000 + i)} by our {words(1, 9000 + i // (2 + i % 8))} friend at noon", "s") for i in range(400)]
+    assert {tuple(r.dropped) for r in linedrop.recurring_lines(frame(spark, rows), 10).collect()} == {(0,)}
+
+
+def test_line_templates_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(i, "x y " + " ".join(rng.choices("abc", [6, 2, 1], k=1 + i % 8)), "s") for i in range(500)]
+    hashes = {r.doc_id: r.line for r in linedrop.lines_of(frame(spark, rows)).collect()}
+    tokens, many = {hashes[i]: t.split()[2:] for i, t, _ in rows}, collections.Counter(hashes.values())
+
+    def agree(a, b):
+        a, b = tokens[a], tokens[b]
+        return len(a) == len(b) and 8 * sum(x == y for x, y in zip(a, b, strict=True)) >= 5 * len(a)
+
+    leads, template = [], {}
+    for a in sorted(tokens, key=lambda h: (-many[h], h)):
+        template[a] = next((b for b in leads if agree(a, b)), a)
+        leads += [a] if template[a] == a else []
+    assert 8 < len(leads) < len(tokens) / 2
+    got = {r.line: r.template for r in linedrop.templates(linedrop.lines_of(frame(spark, rows))).collect()}
+    assert got == {a: b for a, b in template.items() if a != b}
+
+
 def test_lm_base_counts_and_held_out_score(spark):
     text = {i: " ".join(random.Random(i % 40).choices(["the", "cat", "sat", "on", "a", "mat", "dog"], k=60)) for i in range(300)} | {300: "", 301: None}
     d = frame(spark, [(i, t, "s") for i, t in text.items()])
