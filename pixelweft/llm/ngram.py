@@ -32,6 +32,8 @@ from .eliasfano import EliasFano, pack, unpack
 
 #: The hash of the end of a text, and by how much counts are discounted.
 END, DISCOUNT = np.uint64(0x9D39247E33776D41), 0.75
+#: Low bits that keys are short of: room for time.
+SPARE = 2
 #: Entries of a segment that are worked on at a time.
 ROOM = 1 << 19
 
@@ -85,6 +87,10 @@ class Level:
     def uri(self, part: int, kind: str) -> str:
         return f"{self.root}/{self.name}-{part:06d}.{kind}"
 
+    def sequence(self, s: int, kind: str, at: int) -> EliasFano:
+        """The sequence of segment s that begins at array `at` of a file."""
+        return EliasFano.of(map_file(self.uri(self.files[s], kind))[at : at + EliasFano.PARTS])
+
     def _by_key(self, keys: np.ndarray) -> np.ndarray:
         return np.searchsorted(np.array(self.first, np.uint64), keys, "right") - 1
 
@@ -93,10 +99,11 @@ class Level:
         out = [np.zeros(len(seg), kinds[k]) for k in range(n_out)]
         if not len(seg):
             return out
-        order = np.argsort(seg, kind="stable")
-        cuts = np.searchsorted(seg[order], np.arange(len(self.files) + 1))
+        # Rows in the order of their segments, as sorted keys are, are passed on as slices.
+        order = None if (seg[1:] >= seg[:-1]).all() else np.argsort(seg, kind="stable")
+        cuts = np.searchsorted(seg if order is None else seg[order], np.arange(len(self.files) + 1))
         for s in np.flatnonzero(np.diff(cuts)):
-            rows = order[cuts[s] : cuts[s + 1]]
+            rows = slice(cuts[s], cuts[s + 1]) if order is None else order[cuts[s] : cuts[s + 1]]
             got = f(s, *[a[rows] for a in args])
             for k in range(n_out):
                 out[k][rows] = got[k]
@@ -109,7 +116,7 @@ class Level:
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
 
         def one(s: int, k: np.ndarray) -> tuple:
-            at, same = EliasFano.of(map_file(self.uri(self.files[s], "keys"))[:5]).successor(k)
+            at, same = self.sequence(s, "keys", 0).successor(k)
             return at + self.place[s], same
 
         at, same = self._each(seg, 2, one, (keys,), (np.int64, bool))
@@ -119,21 +126,37 @@ class Level:
         return np.searchsorted(np.array(self.place, np.int64), places, "right") - 1
 
     def keys(self, places: np.ndarray) -> np.ndarray:
-        return self._each(self._local(places), 1, lambda s, p: (EliasFano.of(map_file(self.uri(self.files[s], "keys"))[:5]).access(p - self.place[s]),), (places,), (np.uint64,))[0]
+        return self._each(self._local(places), 1, lambda s, p: (self.sequence(s, "keys", 0).access(p - self.place[s]),), (places,), (np.uint64,))[0]
 
     def before(self, places: np.ndarray) -> np.ndarray:
         """Sum of the counts before each place; n names the end."""
         out = np.full(len(places), self.total, np.int64)
         ok = np.flatnonzero(places < self.n)
         p = places[ok]
-        out[ok] = self._each(self._local(p), 1, lambda s, q: (EliasFano.of(map_file(self.uri(self.files[s], "keys"))[5:10]).access(q - self.place[s]).astype(np.int64) + self.count[s],), (p,), (np.int64,))[0]
+        out[ok] = self._each(self._local(p), 1, lambda s, q: (self.sequence(s, "keys", EliasFano.PARTS).access(q - self.place[s]).astype(np.int64) + self.count[s],), (p,), (np.int64,))[0]
         return out
 
+    def _spans(self, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+        """(segment, first, end) of the places from a to b - 1, counted in their segment."""
+        s = max(0, int(np.searchsorted(self.place, a, "right")) - 1)
+        while s < len(self.files) and self.place[s] < b:
+            end = self.place[s + 1] if s + 1 < len(self.files) else self.n
+            yield s, max(a, self.place[s]) - self.place[s], min(b, end) - self.place[s]
+            s += 1
+
+    def keys_span(self, a: int, b: int) -> np.ndarray:
+        """The keys at the places from a to b - 1."""
+        return np.concatenate([np.zeros(0, np.uint64), *[self.sequence(s, "keys", 0).span(x, y) for s, x, y in self._spans(a, b)]])
+
+    def counts_span(self, a: int, b: int) -> np.ndarray:
+        """The counts at the places from a to b - 1; a segment holds one sum more than it has places."""
+        return np.concatenate([np.zeros(0, np.int64), *[np.diff(self.sequence(s, "keys", EliasFano.PARTS).span(x, y + 1).astype(np.int64)) for s, x, y in self._spans(a, b)]])
+
     def counts(self, places: np.ndarray) -> np.ndarray:
         return self.before(places + 1) - self.before(places)
 
     def pointer(self, places: np.ndarray) -> np.ndarray:
-        return self._each(self._local(places), 1, lambda s, p: (EliasFano.of(map_file(self.uri(self.files[s], "down"))[2:7]).access(p - self.place[s]).astype(np.int64) + int(map_file(self.uri(self.files[s], "down"))[7][0]),), (places,), (np.int64,))[0]
+        return self._each(self._local(places), 1, lambda s, p: (self.sequence(s, "down", 2).access(p - self.place[s]).astype(np.int64) + int(map_file(self.uri(self.files[s], "down"))[-1][0]),), (places,), (np.int64,))[0]
 
     def _coded(self, places: np.ndarray, kind: str) -> np.ndarray:
         def one(s: int, p: np.ndarray) -> tuple:
@@ -184,11 +207,11 @@ class Trie:
     def tokens(self) -> int:
         return self.levels[0].total
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        """Word ids; -1: unknown."""
+    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the distinct words (-1: unknown), which of them are known, and the word that each token is."""
         words, back = np.unique(h, return_inverse=True)
         at, same = self.levels[0].find(words)
-        return np.where(same, at, -1)[back]
+        return np.where(same, at, -1), same, back
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         """Add-one probability, in log10."""
@@ -203,57 +226,63 @@ class Trie:
         key[at] = ids[at - 1].astype(np.uint64) * np.uint64(self.vocabulary) + ids[at].astype(np.uint64)
         return key, ok
 
-    def pairs(self, ids: np.ndarray, text: np.ndarray) -> np.ndarray:
-        """Place of the pair that ends at each token; -1: none."""
+    def pairs(self, ids: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the distinct pairs of known words (-1: none), the tokens that end one, and which one each of them is."""
         key, ok = self.pair_keys(ids, text)
-        out = np.full(len(ids), -1, np.int64)
         keys, back = np.unique(key[ok], return_inverse=True)
         at, same = self.levels[1].find(keys)
-        out[ok] = np.where(same, at, -1)[back]
+        return np.where(same, at, -1), np.flatnonzero(ok), back
+
+    def pointers(self, ids: np.ndarray, same: np.ndarray) -> np.ndarray:
+        """Where the pairs begin that distinct words are the first of; 0 for unknown ones."""
+        out = np.zeros(len(ids), np.int64)
+        out[same] = self.levels[0].pointer(ids[same])
         return out
 
-    def triple_keys(self, ids: np.ndarray, pairs: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the triples that end at each token: context, and word relative to its context."""
-        ok = np.zeros(len(ids), bool)
+    def triple_keys(self, pairs: np.ndarray, pointers: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens that end a triple of two pairs, and its key: context, and word relative to its context.
+
+        pairs: the place of the pair that each token ends; pointers: of the pairs that begin with each token.
+        """
+        ok = np.zeros(len(pairs), bool)
         ok[2:] = (text[2:] == text[:-2]) & (pairs[2:] >= 0) & (pairs[1:-1] >= 0)
-        key = np.zeros(len(ids), np.uint64)
         at = np.flatnonzero(ok)
-        heads, back = np.unique(ids[at - 1], return_inverse=True)
-        relative = pairs[at] - self.levels[0].pointer(heads)[back]
-        key[at] = pairs[at - 1].astype(np.uint64) * np.uint64(self.span) + relative.astype(np.uint64)
-        return key, ok
+        relative = pairs[at] - pointers[at - 1]
+        return at, pairs[at - 1].astype(np.uint64) * np.uint64(self.span) + relative.astype(np.uint64)
 
     def score(self, h: np.ndarray, text: np.ndarray, n: int) -> dict[str, np.ndarray]:
-        words, back = np.unique(h, return_inverse=True)
-        at, same = self.levels[0].find(words)
-        ids = np.where(same, at, -1)[back]
+        words, same, back = self.words(h)
+        ids = words[back]
         counts = np.zeros(len(words), np.int64)
-        counts[same] = self.levels[0].counts(at[same])
+        counts[same] = self.levels[0].counts(words[same])
         base = self.base(counts)[back]
         p = base.copy()
         if self.order > 1 and self.levels[1].n:
             rest = np.zeros(len(words))
-            rest[same] = self.levels[0].backoff(at[same])
+            rest[same] = self.levels[0].backoff(words[same])
             rest = rest[back]
             later = np.zeros(len(ids), bool)
             later[1:] = text[1:] == text[:-1]
             t = np.flatnonzero(later)
-            pairs = self.pairs(ids, text)
             p[t] += rest[t - 1]
-            hit = np.flatnonzero(pairs >= 0)
-            seen, where = np.unique(pairs[hit], return_inverse=True)
-            p[hit] = self.levels[1].prob(seen)[where]
+            places, ends, which = self.pairs(ids, text)
+            seen = np.flatnonzero(places >= 0)
+            own, off = np.zeros(len(places)), np.zeros(len(places))
+            own[seen] = self.levels[1].prob(places[seen])
+            hit = (places >= 0)[which]
+            p[ends[hit]] = own[which[hit]]
             if self.order > 2 and self.levels[2].n:
-                back2 = np.zeros(len(ids))
-                back2[hit] = self.levels[1].backoff(seen)[where]
-                p[t] += back2[t - 1]
-                key, ok = self.triple_keys(ids, pairs, text)
-                keys, where = np.unique(key[ok], return_inverse=True)
-                at, same3 = self.levels[2].find(keys)
+                off[seen] = self.levels[1].backoff(places[seen])
+                pairs, rest2 = np.full(len(ids), -1, np.int64), np.zeros(len(ids))
+                pairs[ends], rest2[ends] = places[which], off[which]
+                p[t] += rest2[t - 1]
+                at, key = self.triple_keys(pairs, self.pointers(words, same)[back], text)
+                keys, which = np.unique(key, return_inverse=True)
+                place, found = self.levels[2].find(keys)
                 value = np.zeros(len(keys))
-                value[same3] = self.levels[2].prob(at[same3])
-                ok = np.flatnonzero(ok)[same3[where]]
-                p[ok] = value[where][same3[where]]
+                value[found] = self.levels[2].prob(place[found])
+                ok = found[which]
+                p[at[ok]] = value[which[ok]]
         total = np.bincount(text, minlength=n)
         return {"n_tokens": total, "n_known": np.bincount(text, ids >= 0, n).astype(np.int64), "base_score": np.bincount(text, base, n), "score": np.bincount(text, p, n)}
 
@@ -328,7 +357,7 @@ def _count_level(docs: DataFrame, level: Level, keys_of: Callable, part_of: Call
         part = table["part"][0].as_py()
         if len(k):
             sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(c)])
-            write_file(level.uri(part, "keys"), pack(EliasFano.encode(k) + EliasFano.encode(sums.astype(np.uint64))))
+            write_file(level.uri(part, "keys"), pack(EliasFano.encode(k, SPARE) + EliasFano.encode(sums.astype(np.uint64))))
         first = str(int(k[0])) if len(k) else ""
         return pa.table({"part": pa.array([part], pa.int32()), "n": [len(k)], "total": [int(c.sum())], "first": [first]})
 
@@ -365,17 +394,23 @@ def _finish(spark: SparkSession, trie: Trie, upper: int) -> int:
     width = trie.vocabulary if upper == 0 else trie.span
 
     def one(s: int, a: int, n: int) -> int:
-        at, rest = np.empty(n + 1, np.int64), np.empty(n)
-        for lo in range(0, n + 1, ROOM):
-            hi = min(lo + ROOM, n + 1)
-            at[lo:hi], _ = down.find(np.arange(a + lo, a + hi, dtype=np.uint64) * np.uint64(width))
+        at, rest, many = np.empty(n + 1, np.int64), np.empty(n), np.zeros(n, np.int64)
+        at[[0, n]], _ = down.find(np.array([a, a + n], np.uint64) * np.uint64(width))
         if a + n == up.n:
-            at[-1] = down.n
-        many = np.diff(at)
+            at[n] = down.n
+        seen = np.zeros(n, np.int64)
+        # The entries below are read in a row; those of a context that two reads share are added up.
+        for lo in range(int(at[0]), int(at[n]), ROOM):
+            hi = min(lo + ROOM, int(at[n]))
+            own = (down.keys_span(lo, hi) // np.uint64(width)).astype(np.int64) - a
+            head = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            many[own[head]] += np.diff(np.append(head, len(own)))
+            seen[own[head]] += np.add.reduceat(down.counts_span(lo, hi), head)
+        np.cumsum(many, out=at[1:])
+        at[1:] += at[0]
         for lo in range(0, n, ROOM):
             hi = min(lo + ROOM, n)
-            seen = np.diff(down.before(at[lo : hi + 1])) if down.n else np.zeros(hi - lo, np.int64)
-            rest[lo:hi] = 1.0 - (seen - DISCOUNT * many[lo:hi]) / np.maximum(up.counts(np.arange(a + lo, a + hi)), 1)
+            rest[lo:hi] = 1.0 - (seen[lo:hi] - DISCOUNT * many[lo:hi]) / np.maximum(up.counts_span(a + lo, a + hi), 1)
         ptr = EliasFano.encode((at - at[0]).astype(np.uint64))
         write_file(up.uri(up.files[s], "down"), pack([*quantise(np.log10(np.maximum(rest, 1e-9))), *ptr, np.array([at[0]], np.int64)]))
         return int(many.max()) if n else 0
@@ -388,11 +423,12 @@ def _probabilities(spark: SparkSession, trie: Trie, at: int) -> None:
     level, up = trie.levels[at], trie.levels[at - 1]
     words = trie.levels[0]
 
-    def some(places: np.ndarray) -> np.ndarray:
-        keys, counts = level.keys(places), level.counts(places)
+    def some(lo: int, hi: int) -> np.ndarray:
+        keys, counts = level.keys_span(lo, hi), level.counts_span(lo, hi)
         width = np.uint64(trie.vocabulary if at == 1 else trie.span)
         context, own = (keys // width).astype(np.int64), (keys % width).astype(np.int64)
-        heads, back = np.unique(context, return_inverse=True)
+        new = np.append(True, context[1:] != context[:-1])
+        heads, back = context[new], np.cumsum(new) - 1
         rest, weight = up.backoff(heads)[back], up.counts(heads)[back]
         if at == 1:
             last, where = np.unique(own, return_inverse=True)
@@ -406,7 +442,7 @@ def _probabilities(spark: SparkSession, trie: Trie, at: int) -> None:
     def one(s: int, a: int, n: int) -> int:
         p = np.empty(n)
         for lo in range(0, n, ROOM):
-            p[lo : lo + ROOM] = some(np.arange(a + lo, a + min(lo + ROOM, n)))
+            p[lo : lo + ROOM] = some(a + lo, a + min(lo + ROOM, n))
         write_file(level.uri(level.files[s], "prob"), pack(quantise(p)))
         return 0
 
@@ -438,21 +474,24 @@ def train(docs: DataFrame, order: int = 3, keep: int = 1, parts: int | None = No
             return np.minimum(((start[back] + size[back] * (second / trie.vocabulary)) * (parts / max(1, trie.tokens))).astype(np.int64), parts - 1)
 
         def pair(h: np.ndarray, t: np.ndarray) -> np.ndarray:
-            key, ok = trie.pair_keys(trie.ids(h), t)
+            words, _, back = trie.words(h)
+            key, ok = trie.pair_keys(words[back], t)
             return key[ok]
 
         trie.levels.append(_count_level(docs, Level(root, "two"), pair, mass, parts, keep))
         trie.span = _finish(spark, trie, 0) + 1
         _probabilities(spark, trie, 1)
     if order > 2:
-        if trie.levels[1].n * trie.span >= 1 << 63:
-            raise OverflowError("keys of the third level exceed 63 bits")
+        if trie.levels[1].n * trie.span >= 1 << 64:
+            raise OverflowError("keys of the third level exceed 64 bits")
         pairs = max(1, trie.levels[1].n)
 
         def triple(h: np.ndarray, t: np.ndarray) -> np.ndarray:
-            ids = trie.ids(h)
-            key, ok = trie.triple_keys(ids, trie.pairs(ids, t), t)
-            return key[ok]
+            words, same, back = trie.words(h)
+            places, ends, which = trie.pairs(words[back], t)
+            pairs = np.full(len(h), -1, np.int64)
+            pairs[ends] = places[which]
+            return trie.triple_keys(pairs, trie.pointers(words, same)[back], t)[1]
 
         wide = float(pairs) * trie.span
         trie.levels.append(_count_level(docs, Level(root, "three"), triple, lambda k: np.minimum((k.astype(np.float64) * (parts / wide)).astype(np.int64), parts - 1), parts, keep))
@@ -481,7 +520,13 @@ def held_out(key: str = "doc_id") -> F.Column:
 
 
 def score_report(docs: DataFrame, order: int = 3, keep: int = 1) -> DataFrame:
-    """Scores all documents with a model learnt from those not held out. Null texts are empty: one token, the end."""
+    """Scores all documents with a model learnt from those not held out: (doc_id, held_out, n_tokens, n_known,
+    train_tokens, base_score, score).
+
+    Null and empty texts have one token, their end. Repeated rows and ids, null ones too, are scored as often as they
+    stand, and learnt from as often. Texts of any length are scored whole. Other columns are left out. With no rows to
+    learn from every word is unknown; an empty table gives no rows.
+    """
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out())
     trie = train(docs.where(~F.col("held_out")), order, keep)
     out = score(docs, trie, ["doc_id", "held_out"])
