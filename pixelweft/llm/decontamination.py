@@ -70,14 +70,15 @@ def _blocks(rows: DataFrame, turned: int) -> DataFrame:
     return out.withColumn("block", F.col("__x.block")).withColumn("value", F.col("__x.value")).drop("__x")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = 11, width: int = 5, similarity: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = 15, width: int = 5, similarity: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Best window of each document for each item that it holds: doc_id, item_id, start, n_words, distance, similarity.
 
     Items of fewer than `width` words are too short to be told from chance and match nothing; so do null texts and
     ids of items. A window that would reach beyond the text is moved inside, and is the whole text if that is shorter.
     Documents that repeat a doc_id are answered together; a null doc_id is an id. Of several windows the most similar,
     then the first, is returned. The shingles of the benchmark are broadcast up to `broadcast_rows` rows (they are
-    counted first, about 24 bytes a row); a larger benchmark is joined by shuffle.
+    counted first, about 24 bytes a row); a larger benchmark is joined by shuffle. Without documents or items there are
+    no rows; other columns of both tables are left out.
     """
     items = benchmark.where("item_id IS NOT NULL").select("item_id", normal_words(F.col("text")).alias("words")).where(F.size("words") >= width)
     items = materialize(items.distinct(), "benchmark-words")
@@ -89,7 +90,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = 11, width:
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("n_words")))
     placed = placed.select("doc_id", start.alias("start"), "n_words").distinct()
     asked = placed.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list(F.struct("start", "n_words")).alias("__asked"))
-    windows = docs.select("doc_id", "text").join(asked, docs["doc_id"].eqNullSafe(asked["__d"])).select("doc_id", normal_words(F.col("text")).alias("words"), "__asked")
+    asked = materialize(asked.withColumn("__many", F.size("__asked")), "placed-windows")
+    # Few documents share a shingle with an item as a rule: their windows are broadcast after counting, and texts stay where they are.
+    small = (asked.agg(F.sum("__many")).first()[0] or 0) <= broadcast_rows
+    windows = docs.select("doc_id", "text").join(F.broadcast(asked) if small else asked, docs["doc_id"].eqNullSafe(F.col("__d"))).select("doc_id", normal_words(F.col("text")).alias("words"), "__asked")
     windows = windows.select("doc_id", "words", F.explode("__asked").alias("x")).select("doc_id", F.col("x.start").alias("start"), F.col("x.n_words").alias("n_words"), F.slice("words", F.col("x.start") + 1, F.col("x.n_words")).alias("words"))
     windows = materialize(windows.where(F.size("words") > 0).withColumn("window", F.xxhash64("words")), "windows")
     # Equal windows have one fingerprint and one similarity: copies of a passage are compared once.
@@ -115,6 +119,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = 11, width:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
-    """Documents in which no item was found."""
+    """Documents in which no item was found, with their columns, whatever these are named.
+
+    Cases are those of `contaminated`: null texts hold nothing and stay, all rows of a doc_id go or stay together, a
+    null doc_id is an id, and with an empty benchmark all documents stay.
+    """
     bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
