@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,7 +100,8 @@ def drawn(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 register("brightness_histogram", lambda s, d: color.histogram(fixtures.pixels(s, d)), f"WITH {HIST} SELECT image_id, value, n, CAST(f // 32 AS INT) AS first_y, CAST(f % 32 AS INT) AS first_x FROM hist")
 register("rare_value_fold", lambda s, d: color.fold_independent(fixtures.pixels(s, d)), f"WITH {HIST} SELECT * FROM fold")
-register("rare_value_fold_sequential", lambda s, d: color.fold_sequential(fixtures.pixels(s, d)))
+# One value of these images is rare, so the order of folds doesn't matter here; tests/test_kernels.py has cases where it does.
+register("rare_value_fold_sequential", lambda s, d: color.fold_sequential(fixtures.pixels(s, d)), f"WITH {HIST} SELECT * FROM fold")
 register("value_grid", grid, f"WITH {GRID} SELECT * FROM grid")
 register("grey_levels", lambda s, d: color.levels(grid(s, d)), f"WITH {GRID} SELECT *, CASE WHEN max(value) OVER w > min(value) OVER w THEN (value - min(value) OVER w) * 255.0::DOUBLE / (max(value) OVER w - min(value) OVER w) ELSE 0.0::DOUBLE END AS level FROM grid WINDOW w AS (PARTITION BY image_id)")
 register("regions_cc8", lambda s, d: regions.label_relational(grid(s, d)), REGIONS + " SELECT * FROM rp")
@@ -107,6 +109,15 @@ register("regions_cc4", lambda s, d: regions.label_kernel(grid(s, d), False), "W
 register("region_stats", lambda s, d: regions.stats(labelled(s, d)), REGIONS + " SELECT image_id, region_id, value, count(*) AS n, min(y) AS y_min, min(x) AS x_min, max(y) AS y_max, max(x) AS x_max FROM rp GROUP BY 1, 2, 3")
 register("region_modes", lambda s, d: regions.modes(labelled(s, d), color.opaque(fixtures.pixels(s, d))), REGIONS + ", c AS (SELECT image_id, region_id, op.value, count(*) AS k FROM rp JOIN op USING (image_id, y, x) GROUP BY 1, 2, 3) SELECT image_id, region_id, arg_min(value, (-k, value)) AS mode FROM c GROUP BY 1, 2")
 register("region_coverage", lambda s, d: regions.coverage_faults(grid(s, d), labelled(s, d)), REGIONS + " SELECT g.image_id, g.y, g.x, count(rp.region_id) AS n FROM grid g LEFT JOIN rp USING (image_id, y, x) GROUP BY 1, 2, 3 HAVING count(rp.region_id) <> 1")
+
+
+def _torn(s: SparkSession, d: str) -> DataFrame:
+    """Regions with pixels missing and a row twice."""
+    rp = settle(labelled(s, d), "regions")
+    return regions.coverage_faults(grid(s, d), rp.where("(y + x) % 7 <> 0").union(rp.where("y = 3")))
+
+
+register("region_coverage_faults", _torn, REGIONS + ", t AS (SELECT * FROM rp WHERE (y + x) % 7 <> 0 UNION ALL SELECT * FROM rp WHERE y = 3) SELECT g.image_id, g.y, g.x, count(t.region_id) AS n FROM grid g LEFT JOIN t USING (image_id, y, x) GROUP BY 1, 2, 3 HAVING count(t.region_id) <> 1")
 register("merge_tiny_regions", lambda s, d: regions.merge_tiny(labelled(s, d)))
 PARTS = """
 pts AS ({points}),
@@ -114,7 +125,6 @@ ladj AS (SELECT a.k, a.y AS y, a.x AS x, b.y AS ny, b.x AS nx FROM pts a JOIN pt
 grow(k, y, x, ry, rx) AS (SELECT k, y, x, y, x FROM pts UNION SELECT g.k, l.ny, l.nx, g.ry, g.rx FROM grow g JOIN ladj l ON l.k = g.k AND l.y = g.y AND l.x = g.x),
 heads AS (SELECT k, y, x, min((ry, rx)) AS head FROM grow GROUP BY 1, 2, 3)"""
 register("holes", lambda s, d: regions.holed(settle(labelled(s, d), "regions")), REGIONS + PAIRS4 + "," + PARTS.format(points="SELECT DISTINCT image_id * 100000 + o AS k, ny AS y, nx AS x FROM nb") + " SELECT CAST(k // 100000 AS INT) AS image_id, CAST(k % 100000 AS INT) AS region_id, CAST(count(DISTINCT head) AS INT) AS parts FROM heads GROUP BY k HAVING count(DISTINCT head) > 1")
-register("complement_parts", lambda s, d: regions.complement_parts(labelled(s, d)))
 register("quadtree_cells", lambda s, d: regions.quadtree(grid(s, d)), f"WITH {GRID}, " + ", ".join([f"l{k} AS (SELECT g.image_id, y, x, value FROM {'grid' if not k else f'c{k - 1}'} g {'' if not k else 'WHERE NOT one'}), c{k} AS (SELECT *, y // {32 >> k} AS cy, x // {32 >> k} AS cx, min(value) OVER w = max(value) OVER w AS one FROM l{k} WINDOW w AS (PARTITION BY image_id, y // {32 >> k}, x // {32 >> k}))" for k in range(6)]) + " " + " UNION ALL ".join(f"SELECT image_id, {k} AS level, cy, cx, {32 >> k} AS size, count(*) AS n, min(value) AS value FROM c{k} WHERE one GROUP BY image_id, cy, cx" for k in range(6)))
 
 # --- stencils and borders ----------------------------------------------------------------------------------------------
@@ -143,7 +153,7 @@ def _segments(s: SparkSession, d: str) -> DataFrame:
     return borders.segments(b, stencil.border_adjacency(b, rp))
 
 
-def _walks(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def walked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     b, rp = drawn(s, d)
     seg = settle(borders.segments(b, stencil.border_adjacency(b, rp)), "segments")
     return seg, settle(borders.walks(seg, rp), "walks")
@@ -153,10 +163,10 @@ register("border_segments", _segments, REGIONS + DRAWN + ADJ + SHARE + """, walk
   UNION SELECT g.image_id, g.region_id, g.other_id, a.ny, a.nx, g.ry, g.rx FROM walkg g JOIN madj a USING (image_id, region_id, other_id, y, x)),
 wh AS (SELECT image_id, region_id, other_id, y, x, min((ry, rx)) AS head FROM walkg GROUP BY 1, 2, 3, 4, 5)
 SELECT image_id, region_id, other_id, CAST(dense_rank() OVER (PARTITION BY image_id, region_id, other_id ORDER BY head) - 1 AS INT) AS segment, y, x FROM wh""")
-register("border_walks", lambda s, d: _walks(s, d)[1])
-register("border_loops", lambda s, d: borders.loops(_walks(s, d)[1]))
-register("traversal_failures", lambda s, d: borders.traversal_failures(*_walks(s, d)))
-register("region_loops", lambda s, d: borders.region_loops(_walks(s, d)[1]))
+register("border_walks", lambda s, d: walked(s, d)[1])
+register("border_loops", lambda s, d: borders.loops(walked(s, d)[1]))
+register("traversal_failures", lambda s, d: borders.traversal_failures(*walked(s, d)))
+register("region_loops", lambda s, d: borders.region_loops(walked(s, d)[1]))
 register("region_polygons", lambda s, d: pipeline.region_polygons(fixtures.pixels(s, d)))
 register("mesh_pipeline", lambda s, d: pipeline.mesh_quads(fixtures.pixels(s, d)))
 register("contact_pixels", lambda s, d: stencil.contact(grid(s, d).where("value = 600"), grid(s, d).where("value = 240")), f"WITH {GRID} SELECT DISTINCT a.* FROM grid a JOIN grid b ON b.image_id = a.image_id AND b.value = 240 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 WHERE a.value = 600")
@@ -180,9 +190,9 @@ two AS (SELECT image_id, y, x, value, (cvalue + value) / 2.0::DOUBLE AS v1, CASE
   sqrt((y - cy) * (y - cy) + (x - cx) * (x - cx)) AS d1, CASE WHEN mid THEN (cy + o[4]) / 2.0::DOUBLE ELSE o[4]::DOUBLE END AS oy, CASE WHEN mid THEN (cx + o[5]) / 2.0::DOUBLE ELSE o[5]::DOUBLE END AS ox FROM anc),
 dis AS (SELECT *, sqrt((y - oy) * (y - oy) + (x - ox) * (x - ox)) AS d2 FROM two)
 SELECT image_id, y, x, value, round(v1 * (1 - d1 / (d1 + d2)) + v2 * (1 - d2 / (d1 + d2)), 6) AS filled FROM dis""")
-register("gradient_pixels", lambda s, d: pipeline.gradient_fill(fixtures.pixels(s, d)))
+_GREY = "greatest(0, least(255, CAST(trunc(filled / 3) AS INT)))"
+register("gradient_pixels", lambda s, d: pipeline.gradient_fill(fixtures.pixels(s, d)), _SQL["gradient_fill"].replace("SELECT image_id, y, x, value, round(v1", "SELECT image_id, y, x, filled / 3 AS value, " + ", ".join(f"{_GREY} AS {c}" for c in "rgb") + ", 255 AS a FROM (SELECT image_id, y, x, round(v1") + ")")
 register("nearest_pair", lambda s, d: spatial.nearest_pairs(grid(s, d).where("value <> -1 AND (y + x) % 2 = 0"), ["image_id"], "value"), f"WITH {GRID}, g AS (SELECT * FROM grid WHERE value <> -1 AND (y + x) % 2 = 0), m AS (SELECT a.image_id, a.value AS a, b.value AS b, min(((a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x), a.y, a.x, b.y, b.x)) AS m FROM g a JOIN g b ON a.image_id = b.image_id AND a.value < b.value GROUP BY 1, 2, 3) SELECT image_id, a, b, m[1] AS d2, m[2] AS ay, m[3] AS ax, m[4] AS \"by\", m[5] AS bx FROM m")
-register("vector_nearest", lambda s, d: spatial.vector_nearest(fixtures.table(s, d, "embeddings")), "SELECT q AS vec_id, m[2] AS nearest_id, m[1] AS d2 FROM (SELECT a.vec_id AS q, min((round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 6), b.vec_id)) AS m FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY 1)")
 
 
 def _rects(s: SparkSession, d: str) -> DataFrame:
@@ -192,6 +202,7 @@ def _rects(s: SparkSession, d: str) -> DataFrame:
 
 
 _RECTS = f"WITH {GRID}, " + _SQL["quadtree_cells"].split(GRID + ", ")[1].split(" SELECT image_id, 0 AS level")[0] + ", rects AS (SELECT image_id, cy * size * 32 + cx * size AS rect_id, cy * size AS top, cx * size AS \"left\", cy * size + size - 1 AS bottom, cx * size + size - 1 AS \"right\" FROM (SELECT image_id, 0 AS level" + _SQL["quadtree_cells"].split(" SELECT image_id, 0 AS level")[1] + "))"
+_RECTS = re.sub(r"\b([lc]\d|rects) AS \(", r"\1 AS MATERIALIZED (", _RECTS)
 register("rect_contacts", lambda s, d: spatial.rect_contacts(_rects(s, d), ["image_id"]), _RECTS + """ SELECT a.image_id, a.rect_id AS a, b.rect_id AS b FROM rects a JOIN rects b ON a.image_id = b.image_id AND a.rect_id < b.rect_id
   AND a.top <= b.bottom + 1 AND b.top <= a.bottom + 1 AND a."left" <= b."right" + 1 AND b."left" <= a."right" + 1""")
 register("rects_in_window", lambda s, d: spatial.rects_in_window(_rects(s, d), 8, 8, 20, 20), _RECTS + ' SELECT * FROM rects WHERE top <= 20 AND bottom >= 8 AND "left" <= 20 AND "right" >= 8')
@@ -207,7 +218,7 @@ register("line_fit", lambda s, d: polyline.fits(fixtures.polylines(s, d)).select
 register("straight_prefix", lambda s, d: polyline.straight_prefix(fixtures.polylines(s, d)), f"WITH {POLYLINES}, r AS (SELECT line_id, count(*) OVER w AS n, sum(x) OVER w AS sx, sum(y) OVER w AS sy, sum(x*y) OVER w AS sxy, sum(x*x) OVER w AS sxx, sum(y*y) OVER w AS syy FROM lines WINDOW w AS (PARTITION BY line_id ORDER BY pos)), v AS (SELECT line_id, n, n*sxy - sx*sy AS c, (n*sxx - sx*sx) * (n*syy - sy*sy) AS v FROM r) SELECT line_id, max(n) AS n FROM v WHERE n <= 2 OR v <= 0 OR c * c >= 0.5 * v GROUP BY 1")
 register("rdp_simplify", lambda s, d: polyline.simplify(fixtures.polylines(s, d)))
 register("rdp_simplify_strict", lambda s, d: polyline.simplify(fixtures.polylines(s, d), strict=True))
-RASTER = "CAST(CASE WHEN n = 0 THEN {a}0 ELSE floor({a}0 + i * ({a}1 - {a}0) / n::DOUBLE) END AS INT) AS {a}"
+RASTER = "CAST(CASE WHEN n = 0 THEN {a}0 ELSE trunc({a}0 + i * ({a}1 - {a}0) / n::DOUBLE) END AS INT) AS {a}"
 LINES = ", e AS (SELECT polygon_id, pos, y AS y0, x AS x0, ny AS y1, nx AS x1, greatest(abs(ny - y), abs(nx - x)) AS n FROM an)"
 register("rasterize_lines", lambda s, d: polyline.rasterize(polygon.edges(fixtures.polygons(s, d)), ["polygon_id", "pos"]), f"WITH {POLYGONS}{AROUND}{LINES} SELECT polygon_id, pos, CAST(i AS INT) AS i, {RASTER.format(a='y')}, {RASTER.format(a='x')} FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM e)")
 register("rasterize_polygons", lambda s, d: polygon.outlines(fixtures.polygons(s, d)), f"WITH {POLYGONS}{AROUND}{LINES} SELECT DISTINCT polygon_id, {RASTER.format(a='y')}, {RASTER.format(a='x')} FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM e)")
@@ -225,7 +236,6 @@ SIDE = "sign(({by} - {ay}) * ({cx} - {ax}) - ({bx} - {ax}) * ({cy} - {ay}))"
 _s = lambda *n: SIDE.format(**dict(zip(("ay", "ax", "by", "bx", "cy", "cx"), n, strict=True)))
 register("segment_intersections", lambda s, d: polygon.crossing(polygon.candidate_cuts(fixtures.polygons(s, d)), fixtures.polygons(s, d)), f"WITH {POLYGONS}{CUTS} SELECT c.polygon_id, a, b, sum(CASE WHEN {_s('y0', 'x0', 'y1', 'x1', 'y', 'x')} * {_s('y0', 'x0', 'y1', 'x1', 'ny', 'nx')} < 0 AND {_s('y', 'x', 'ny', 'nx', 'y0', 'x0')} * {_s('y', 'x', 'ny', 'nx', 'y1', 'x1')} < 0 THEN 1 ELSE 0 END) AS crossings FROM cuts c JOIN an USING (polygon_id) GROUP BY 1, 2, 3")
 register("point_in_polygon", lambda s, d: polygon.middle_inside(polygon.candidate_cuts(fixtures.polygons(s, d)), fixtures.polygons(s, d)), f"WITH {POLYGONS}{CUTS} SELECT polygon_id, a, b, sum(CASE WHEN (2*y > y0+y1) <> (2*ny > y0+y1) AND x0 + x1 < (2*nx - 2*x) * (y0+y1 - 2*y) / (2*ny - 2*y)::DOUBLE + 2*x THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM cuts JOIN an USING (polygon_id) GROUP BY 1, 2, 3")
-register("cut_scores", lambda s, d: polygon.cut_scores(fixtures.polygons(s, d)))
 register("convex_parts", lambda s, d: polygon.partition(fixtures.polygons(s, d), "convex"))
 register("quad_parts", lambda s, d: polygon.partition(fixtures.polygons(s, d), "quads"))
 register("first_occurrences", lambda s, d: polygon.first_occurrences(fixtures.polygons(s, d).union(fixtures.polygons(s, d).withColumn("pos", F.col("pos") + 8))), f"WITH {POLYGONS} SELECT polygon_id, CAST(row_number() OVER (PARTITION BY polygon_id ORDER BY min(pos)) - 1 AS INT) AS pos, y, x FROM polygons GROUP BY polygon_id, y, x")
@@ -240,7 +250,15 @@ register("void_edges", lambda s, d: pipeline.void_edges(fixtures.quads(s, d)), f
 register("void_polygons", lambda s, d: mesh.void_polygons(fixtures.quads(s, d)), f"WITH {QUADS}{MESH} SELECT polygon_id, count(*) = 3 AS triangle, min(degree) = 1 AS void_border FROM inc GROUP BY 1")
 register("polygon_neighbors", lambda s, d: mesh.neighbors(fixtures.quads(s, d)), f"WITH {QUADS}{MESH} SELECT a.polygon_id, a.pos, b.polygon_id AS neighbor_id FROM inc a LEFT JOIN inc b ON a.edge_id = b.edge_id AND a.polygon_id <> b.polygon_id")
 register("polygon_by_points", lambda s, d: mesh.containing(fixtures.quads(s, d), fixtures.quads(s, d).where("polygon_id = 11 AND pos < 3").select("y", "x"), 3), f"WITH {QUADS}, p AS (SELECT y, x FROM polygons WHERE polygon_id = 11 AND pos < 3) SELECT min(polygon_id) AS polygon_id FROM (SELECT polygon_id FROM polygons JOIN p USING (y, x) GROUP BY 1 HAVING count(*) = 3)")
-register("mesh_fold_faults", lambda s, d: mesh.fold_faults(fixtures.quads(s, d)), f"WITH {QUADS}{MESH} SELECT * FROM edges WHERE degree > 2")
+
+
+def _folded(s: SparkSession, d: str) -> DataFrame:
+    """The mesh of quads with every fifth one twice."""
+    q = fixtures.quads(s, d)
+    return q.unionByName(q.where("polygon_id % 5 = 0").withColumn("polygon_id", -F.col("polygon_id") - 1))
+
+
+register("mesh_fold_faults", lambda s, d: mesh.fold_faults(_folded(s, d)), f"WITH {QUADS.replace('polygons AS', 'once AS')}, polygons AS (SELECT * FROM once UNION ALL SELECT -polygon_id - 1, pos, y, x FROM once WHERE polygon_id % 5 = 0){MESH} SELECT * FROM edges WHERE degree > 2")
 register("jacobi_smooth_step", lambda s, d: mesh.jacobi_step(fixtures.quads(s, d)).select("vertex_id", F.round("y", 6).alias("y"), F.round("x", 6).alias("x")), f"WITH {QUADS}{MESH}, b AS (SELECT v_lo AS v, v_hi AS o, degree FROM edges UNION ALL SELECT v_hi, v_lo, degree FROM edges) SELECT m.vertex_id, round(CASE WHEN min(degree) > 1 THEN avg(n.y) ELSE m.y::DOUBLE END, 6) AS y, round(CASE WHEN min(degree) > 1 THEN avg(n.x) ELSE m.x::DOUBLE END, 6) AS x FROM b JOIN vertices m ON m.vertex_id = v JOIN vertices n ON n.vertex_id = o GROUP BY m.vertex_id, m.y, m.x")
 register("mesh_smooth", lambda s, d: mesh.smooth(fixtures.quads(s, d).withColumn("group_id", F.floor(F.col("polygon_id") / 500).cast("int"))))
 
@@ -257,6 +275,9 @@ register("points_intersect", _SET(lambda a, b: sets.common(a, b, ["image_id", "y
 register("symmetric_edges", lambda s, d: sets.symmetric(mesh.edges(fixtures.quads(s, d)).select(F.col("v_lo").alias("a"), F.col("v_hi").alias("b"))), f"WITH {QUADS}{MESH} SELECT v_lo AS a, v_hi AS b FROM edges UNION SELECT v_hi, v_lo FROM edges")
 
 
+from pixelweft import catalog_points  # noqa: E402, F401  registers its queries
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelweft.schema import RING
@@ -141,6 +141,59 @@ def region_loops(walked: DataFrame, least: float = 5.0) -> DataFrame:
     return both.groupBy("image_id", "owner").applyInPandas(run, "image_id int, region_id int, step int, other_id int, segment int, end int")
 
 
+def links(tours: DataFrame) -> DataFrame:
+    """(line_a, end_a, line_b, end_b): the ends that follow each other in tours (image_id, region_id, step, line_id, end).
+
+    `end` is the end by which a line is left; a line alone in its tour is closed in itself.
+    """
+    w = Window.partitionBy("image_id", "region_id").orderBy("step")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = F.coalesce(F.lead(F.struct("line_id", "end")).over(w), F.first(F.struct("line_id", "end")).over(whole))
+    return tours.select(F.col("line_id").alias("line_a"), F.col("end").alias("end_a"), after.alias("n")).select("line_a", "end_a", F.col("n.line_id").alias("line_b"), (1 - F.col("n.end")).alias("end_b"))
+
+
 def cinch(ends: DataFrame) -> DataFrame:
     """(link, y, x): one point for linked ends, their mean cut to whole numbers; the order of ends doesn't matter."""
     return ends.groupBy("link").agg(F.avg("y").cast("int").alias("y"), F.avg("x").cast("int").alias("x"))
+
+
+def cinched(lines: DataFrame, linked: DataFrame) -> DataFrame:
+    """Lines (line_id, pos, y, x) whose linked ends lie on one point: the mean of all that hang together."""
+    from pixelweft.plans.fixpoint import connected_components
+
+    node = lambda line, end: F.concat_ws("#", line, F.col(end).cast("string"))
+    roots = connected_components(linked.select(node("line_a", "end_a").alias("a"), node("line_b", "end_b").alias("b")))
+    span = lines.groupBy("line_id").agg(F.min("pos").alias("p0"), F.max("pos").alias("p1"))
+    rows = lines.join(span, "line_id").withColumn("end", F.when(F.col("pos") == F.col("p0"), 0).when(F.col("pos") == F.col("p1"), 1)).withColumn("node", node("line_id", "end"))
+    rows = rows.join(roots.withColumnRenamed("root", "link"), "node", "left")
+    to = cinch(rows.where("link IS NOT NULL")).select("link", F.col("y").alias("cy"), F.col("x").alias("cx"))
+    return rows.join(to, "link", "left").select("line_id", "pos", F.coalesce("cy", "y").cast("double").alias("y"), F.coalesce("cx", "x").cast("double").alias("x"))
+
+
+def end_distances(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, a, end_a, b, end_b, d2): squared distances between the ends of the lines of a group, a < b.
+
+    Groups are the lines around one region, which are few.
+    """
+    ends = lines.groupBy(*keys, "line_id").agg(F.min_by(F.struct("y", "x"), "pos").alias("e0"), F.max_by(F.struct("y", "x"), "pos").alias("e1"))
+    e = ends.select(*keys, "line_id", F.posexplode(F.array("e0", "e1")).alias("end", "p"))
+    one = lambda k: e.select(*keys, F.col("line_id").alias(k), F.col("end").alias(f"end_{k}"), F.col("p.y").alias(f"y{k}"), F.col("p.x").alias(f"x{k}"))
+    d2 = (F.col("ya") - F.col("yb")) * (F.col("ya") - F.col("yb")) + (F.col("xa") - F.col("xb")) * (F.col("xa") - F.col("xb"))
+    return one("a").join(one("b"), keys).where("a < b").select(*keys, "a", "end_a", "b", "end_b", d2.alias("d2"))
+
+
+class TraversalError(RuntimeError):
+    """A border walk has left out more pixels than are tolerated."""
+
+
+def check_traversal(segment_pixels: DataFrame, walked: DataFrame, tolerance: int = 5) -> None:
+    """Raises if any segment has more than `tolerance` pixels that its walk didn't reach; naming some of them."""
+    some = traversal_failures(segment_pixels, walked, tolerance).select(*PAIR, "segment").distinct().orderBy(*PAIR, "segment").limit(5).collect()
+    if some:
+        raise TraversalError("walks left out pixels of " + "; ".join("image {}, regions {} and {}, segment {}".format(*r) for r in some))
+
+
+def failed_images(segment_pixels: DataFrame, walked: DataFrame, tolerance: int = 5) -> DataFrame:
+    """(image_id, failed): whether any segment of an image has failed."""
+    bad = traversal_failures(segment_pixels, walked, tolerance).select("image_id").distinct().withColumn("bad", F.lit(True))
+    return segment_pixels.select("image_id").distinct().join(bad, "image_id", "left").select("image_id", F.coalesce("bad", F.lit(False)).alias("failed"))

@@ -13,16 +13,17 @@ from .polygon import edges as polygon_edges
 FRACTION = 20
 
 
-def rank_bucketed(rows: DataFrame, order: list[str], out: str, bucket: str, width: int = 64) -> DataFrame:
+def rank_bucketed(rows: DataFrame, order: list[str], out: str, bucket: str, width: int = 64, kind: str = "int") -> DataFrame:
     """Numbers distinct rows from 0 in the given order, whose first column is `bucket`.
 
-    Buckets of `width` values are numbered on their own and then moved by the sizes of those before.
+    Buckets of `width` values are numbered on their own and then moved by the sizes of those before. kind: "long" for
+    tables that may have more than two billion rows.
     """
     rows = rows.withColumn("__b", F.floor(F.col(bucket) / width))
     sizes = rows.groupBy("__b").count()
     before = sizes.withColumn("__off", F.coalesce(F.sum("count").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     inner = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1)
-    return inner.join(before, "__b").withColumn(out, (F.col("__off") + F.col("__r")).cast("int")).drop("__b", "__r", "__off")
+    return inner.join(before, "__b").withColumn(out, (F.col("__off") + F.col("__r")).cast(kind)).drop("__b", "__r", "__off")
 
 
 def vertices(polygons: DataFrame) -> DataFrame:
@@ -31,7 +32,10 @@ def vertices(polygons: DataFrame) -> DataFrame:
 
 
 def polygon_vertices(polygons: DataFrame, v: DataFrame) -> DataFrame:
-    return polygons.join(v, ["y", "x"]).select("polygon_id", "pos", "vertex_id")
+    """(polygon_id, pos, vertex_id): -1 for a point that the table of vertices doesn't have."""
+    from .points import code_of
+
+    return code_of(polygons, v).select("polygon_id", "pos", "vertex_id")
 
 
 def polygon_edges_by_id(polygons: DataFrame, v: DataFrame) -> DataFrame:
@@ -74,6 +78,59 @@ def containing(polygons: DataFrame, points: DataFrame, n: int) -> DataFrame:
     return hit.agg(F.min("polygon_id").alias("polygon_id"))
 
 
+def owners(polygons: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(v_lo, v_hi, edge_id, polygon_id, pos): edge and first polygon of pairs (a, b) of vertices, -1 if there is none."""
+    v = vertices(polygons)
+    first = polygon_edges_by_id(polygons, v).groupBy("v_lo", "v_hi").agg(F.min(F.struct("polygon_id", "pos")).alias("f"))
+    known = edges(polygons, v).join(first, ["v_lo", "v_hi"]).select("v_lo", "v_hi", "edge_id", "f.polygon_id", "f.pos")
+    asked = pairs.select(F.least("a", "b").alias("v_lo"), F.greatest("a", "b").alias("v_hi")).distinct()
+    return asked.join(known, ["v_lo", "v_hi"], "left").select("v_lo", "v_hi", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("edge_id", "polygon_id", "pos")])
+
+
+def replaced(polygons: DataFrame, new: DataFrame) -> DataFrame:
+    """The mesh after an edit: polygons (polygon_id, pos, y, x) with the polygons named in `new` (of, part, pos, y, x)
+    taken out and its pieces put in, all numbered anew by (polygon, part). Vertices and edges follow by `vertices` and
+    `edges`, which number what is there."""
+    left = polygons.join(new.select(F.col("of").alias("polygon_id")).distinct(), "polygon_id", "left_anti").select(F.col("polygon_id").alias("of"), F.lit(0).alias("part"), "pos", "y", "x")
+    both = left.unionByName(new.select("of", "part", "pos", "y", "x"))
+    ids = rank_bucketed(both.select("of", "part").distinct(), ["of", "part"], "polygon_id", "of")
+    return both.join(ids, ["of", "part"]).select("polygon_id", "pos", "y", "x")
+
+
+def quad_strip_cut(quads: DataFrame, a: int, b: int) -> DataFrame:
+    """(polygon_id, part, pos, y, x): quads (polygon_id, pos, y, x) cut along a way that enters by edge a and leaves by
+    edge b, edge k being the one from corner k: opposite edges leave two quads, adjacent ones three around the centre.
+
+    Middles and centres are cut down to whole numbers.
+    """
+    at = {k: (F.max(F.when(F.col("pos") == k, F.col("y"))), F.max(F.when(F.col("pos") == k, F.col("x")))) for k in range(4)}
+    wide = quads.groupBy("polygon_id").agg(*[e.alias(f"{c}{k}") for k, own in at.items() for c, e in zip("yx", own, strict=True)])
+    corner = lambda k: tuple(F.col(f"{c}{k % 4}") for c in "yx")
+    middle = lambda k: tuple(F.floor((F.col(f"{c}{k % 4}") + F.col(f"{c}{(k + 1) % 4}")) / 2) for c in "yx")
+    centre = tuple(F.floor(sum((F.col(f"{c}{k}") for k in range(1, 4)), F.col(f"{c}0")) / 4) for c in "yx")
+    if (b - a) % 4 == 2:
+        pieces = [[middle(a), corner(a + 1), corner(a + 2), middle(b)], [middle(b), corner(b + 1), corner(b + 2), middle(a)]]
+    else:
+        a = a if (b - a) % 4 == 1 else b
+        pieces = [[middle(a), corner(a + 1), middle(a + 1), centre], [middle(a + 1), corner(a + 2), corner(a + 3), centre], [centre, corner(a + 3), corner(a), middle(a)]]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.lit(k).alias("pos"), y.cast("int").alias("y"), x.cast("int").alias("x")) for i, p in enumerate(pieces) for k, (y, x) in enumerate(p)]))
+    return wide.select("polygon_id", each.alias("p")).select("polygon_id", "p.*")
+
+
+def displacements(polygons: DataFrame) -> DataFrame:
+    """(mean, largest): squared moves of one `jacobi_step`, their sum over all vertices' number, and the largest."""
+    v = vertices(polygons).select("vertex_id", F.col("y").alias("y0"), F.col("x").alias("x0"))
+    moved = jacobi_step(polygons).join(v, "vertex_id")
+    d2 = (F.col("y") - F.col("y0")) * (F.col("y") - F.col("y0")) + (F.col("x") - F.col("x0")) * (F.col("x") - F.col("x0"))
+    return moved.agg((F.sum(d2) / F.count(F.lit(1))).alias("mean"), F.max(d2).alias("largest"))
+
+
+def gathered(parts: DataFrame, group: str) -> DataFrame:
+    """(group, n, polygons): the polygons of each group, by id, as text."""
+    held = F.array_sort(F.collect_set("polygon_id"))
+    return parts.groupBy(group).agg(F.countDistinct("polygon_id").alias("n"), F.concat_ws(",", F.transform(held, lambda p: p.cast("string"))).alias("polygons"))
+
+
 def fold_faults(polygons: DataFrame) -> DataFrame:
     """Edges that more than two polygons have: none in a proper mesh."""
     return edges(polygons).where("degree > 2")

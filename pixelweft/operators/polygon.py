@@ -129,28 +129,32 @@ def _bisectors(p: np.ndarray) -> np.ndarray:
         return m / np.hypot(*m.T)[:, None]
 
 
+def _inward(p: np.ndarray) -> np.ndarray:
+    """Unit vectors that halve the corners, toward the inside of a convex ring; at a straight corner the normal."""
+    before, after = np.roll(p, 1, axis=0) - p, np.roll(p, -1, axis=0) - p
+    unit = lambda v: v / np.maximum(np.hypot(*v.T), 1e-12)[:, None]
+    half = unit(before) + unit(after)
+    side = np.sign((after[:, 0] * before[:, 1] - after[:, 1] * before[:, 0]).sum()) or 1.0
+    normal = side * unit(after)[:, ::-1] * [-1.0, 1.0]
+    return unit(np.where((np.hypot(*half.T) < 1e-9)[:, None], normal, half))
+
+
 def peel_quads(points: list) -> list[list]:
-    """Cuts a polygon down to pieces of at most four corners: each time the corner whose inward bisector best points
-    along the line from the third corner before it begins a cut to the third corner after it."""
-    todo, out = [points], []
-    while todo:
-        p = todo.pop()
-        if len(p) <= 4:
-            out.append(p)
-            continue
-        q = np.array(p, float)
-        ideal = -_bisectors(q)
-        if np.isinf(ideal[:, 0]).any():
-            k = int(np.flatnonzero(np.isinf(ideal[:, 0]))[-1])
-        else:
-            chord = q - np.roll(q, 3, axis=0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                fit = (ideal * chord / np.hypot(*chord.T)[:, None]).sum(axis=1)
-            k = int(np.argmax(np.where(np.isnan(fit), np.inf, fit)))
-        quad, rest = cut(p, k, k + 3)
-        out.append(quad)
-        todo.append(rest)
-    return out
+    """Pieces of at most four corners of a convex ring of corners.
+
+    While more than four are left, the corner whose inward direction points best along the line from the third corner
+    before it gives a quad with the three corners after it; the two in the middle of those leave the ring.
+    """
+    p = np.array(points, float)
+    ring, out = np.arange(len(points)), []
+    while len(ring) > 4:
+        q = p[ring]
+        toward = q - q[np.arange(len(ring)) - 3]
+        fit = np.einsum("ij,ij->i", _inward(q), toward) / np.maximum(np.hypot(*toward.T), 1e-12)
+        four = (int(np.argmax(np.round(fit, 9))) + np.arange(4)) % len(ring)
+        out.append([points[k] for k in ring[four]])
+        ring = np.delete(ring, four[1:3])
+    return [*out, [points[k] for k in ring]]
 
 
 def _turns(p: np.ndarray) -> np.ndarray:
@@ -171,12 +175,13 @@ def _contains(p: np.ndarray, m: np.ndarray) -> bool:
     return inside
 
 
-def convex_parts(points: list, ratio: float = 3.0) -> list[list]:
+def convex_parts(points: list, ratio: float = 3.0, halved: dict | None = None) -> list[list]:
     """Convex pieces of a simple polygon.
 
     Corners whose turn has the rarer sign are concave. Cuts from a concave corner are tried by score, those to another
     concave corner first; one that crosses no edge and has its middle inside is taken. Without one, the longest edge
-    is halved if it is `ratio` times the shortest, and the cuts are tried again; without any the piece stays.
+    is halved if it is `ratio` times the shortest, and the cuts are tried again; without any the piece stays. `halved`
+    collects the middle of each edge that was halved, by its two ends.
     """
     todo, out = [list(points)], []
     while todo:
@@ -211,12 +216,31 @@ def convex_parts(points: list, ratio: float = 3.0) -> list[list]:
         mid = tuple(int(v) for v in (q[k] + q[(k + 1) % n]) // 2)
         if edge[k] > ratio * max(edge.min(), 1e-9) and mid not in p:
             todo.append([*p[: k + 1], mid, *p[k + 1 :]])
+            if halved is not None:
+                halved[frozenset((p[k], p[(k + 1) % n]))] = mid
         else:
             out.append(p)
     return out
 
 
-def partition(polygons: DataFrame, into: str = "quads") -> DataFrame:
+def with_middles(points: list, halved: dict) -> list:
+    """A polygon with the middles of those of its edges that were halved, and of their halves."""
+    out = []
+    for a, b in zip(points, [*points[1:], *points[:1]], strict=True):
+        out.append(a)
+        inner = [(a, b)]
+        while inner:
+            p, q = inner.pop()
+            mid = halved.get(frozenset((p, q)))
+            if mid is None or mid in (p, q):
+                if q != b:
+                    out.append(q)
+            else:
+                inner += [(mid, q), (p, mid)]
+    return out
+
+
+def partition(polygons: DataFrame, into: str = "quads", ratio: float = 3.0) -> DataFrame:
     """(polygon_id, part, pos, y, x): convex parts, or convex parts peeled to at most four corners.
 
     Polygons are independent: each becomes one array of corners, and a task works through batches of them.
@@ -227,7 +251,7 @@ def partition(polygons: DataFrame, into: str = "quads") -> DataFrame:
         for rows in source:
             out = []
             for key, corners in zip(rows.polygon_id, rows.p, strict=True):
-                parts = convex_parts([(c["y"], c["x"]) for c in corners])
+                parts = convex_parts([(c["y"], c["x"]) for c in corners], ratio)
                 if into == "quads":
                     parts = [q for p in parts for q in peel_quads(p)]
                 out += [(key, k, i, int(y), int(x)) for k, p in enumerate(parts) for i, (y, x) in enumerate(p)]
@@ -236,6 +260,110 @@ def partition(polygons: DataFrame, into: str = "quads") -> DataFrame:
     return whole.mapInPandas(run, f"polygon_id {polygons.schema['polygon_id'].dataType.simpleString()}, part int, pos int, y int, x int")
 
 
+def mesh_partition(polygons: DataFrame, group: str, ratio: float = 3.0) -> DataFrame:
+    """(group, polygon_id, part, pos, y, x): pieces of at most four corners of the polygons of each group's mesh.
+
+    As `partition`, but an edge that is halved in one polygon gets its middle in all that share it, so that the pieces
+    still meet edge to edge. A group is one mesh, worked through in one task.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        halved: dict = {}
+        cut_up = []
+        for key, own in rows.sort_values(["polygon_id", "pos"]).groupby("polygon_id", sort=False):
+            cut_up += [(key, p) for p in convex_parts(list(zip(own.y.tolist(), own.x.tolist(), strict=True)), ratio, halved)]
+        numbers: dict = {}
+        out = []
+        for key, p in cut_up:
+            for q in peel_quads(with_middles(p, halved)):
+                part = numbers[key] = numbers.get(key, -1) + 1
+                out += [(rows[group].iloc[0], key, part, i, int(y), int(x)) for i, (y, x) in enumerate(q)]
+        return pd.DataFrame(out, columns=[group, "polygon_id", "part", "pos", "y", "x"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in polygons.schema}
+    return polygons.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, polygon_id {kinds['polygon_id']}, part int, pos int, y int, x int")
+
+
+def cut_all(polygons: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(polygon_id, half, pos, y, x): both halves of polygons cut from corner a to corner b (polygon_id, a, b), numbered
+    from the corner that each begins at; both keep the two ends."""
+    n = polygons.groupBy("polygon_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    rows = polygons.join(cuts, "polygon_id").join(n, "polygon_id").withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
+    begin, end = F.when(F.col("half") == 0, F.col("a")).otherwise(F.col("b")), F.when(F.col("half") == 0, F.col("b")).otherwise(F.col("a"))
+    place = F.pmod(F.col("pos") - begin, F.col("n"))
+    return rows.where(place <= F.pmod(end - begin, F.col("n"))).select("polygon_id", "half", place.cast("int").alias("pos"), "y", "x")
+
+
+def cut_order(polygons: DataFrame) -> DataFrame:
+    """(polygon_id, a, b, even, nested, place): the order in which cuts are tried.
+
+    nested: by how concave the corner is that a cut begins at, then by the cut's rank among those of its corner. place:
+    cuts that leave halves with even numbers of corners first, each in the nested order.
+    """
+    n = polygons.groupBy("polygon_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    z = corner_cross(polygons).select("polygon_id", F.col("pos").alias("a"), F.round("z", 6).alias("z"))
+    c = cut_scores(polygons).join(z, ["polygon_id", "a"]).join(n, "polygon_id")
+    k = F.pmod(F.col("b") - F.col("a"), F.col("n"))
+    c = c.withColumn("even", ((k + 1) % 2 == 0) & ((F.col("n") - k + 1) % 2 == 0))
+    w = Window.partitionBy("polygon_id")
+    c = c.withColumn("nested", (F.row_number().over(w.orderBy("z", "a", "rank")) - 1).cast("int"))
+    return c.select("polygon_id", "a", "b", "even", "nested", (F.row_number().over(w.orderBy(F.desc("even"), "nested")) - 1).cast("int").alias("place"))
+
+
+def paired_crossing(pairs: DataFrame) -> DataFrame:
+    """Pairs of segments (ay0, ax0, ay1, ax1, by0, bx0, by1, bx1) with `hit`: whether they meet, ends included.
+
+    Both cross products of one segment's ends with the other's line are of different sign, or 0; where all four are
+    0, the segments lie on one line and their boxes decide.
+    """
+    c = F.col
+    turn = lambda p, q, r: F.signum(((c(f"{q[0]}y{q[1]}") - c(f"{p[0]}y{p[1]}")) * (c(f"{r[0]}x{r[1]}") - c(f"{p[0]}x{p[1]}")) - (c(f"{q[0]}x{q[1]}") - c(f"{p[0]}x{p[1]}")) * (c(f"{r[0]}y{r[1]}") - c(f"{p[0]}y{p[1]}"))).cast("double"))
+    apart = (turn("a0", "a1", "b0") * turn("a0", "a1", "b1") > 0) | (turn("b0", "b1", "a0") * turn("b0", "b1", "a1") > 0)
+    over = lambda k: (F.least(f"a{k}0", f"a{k}1") <= F.greatest(f"b{k}0", f"b{k}1")) & (F.least(f"b{k}0", f"b{k}1") <= F.greatest(f"a{k}0", f"a{k}1"))
+    return pairs.withColumn("hit", ~apart & over("y") & over("x"))
+
+
+def parallel_crossing(cuts: DataFrame, polygons: DataFrame, cos: float = 0.999) -> DataFrame:
+    """`crossing` that leaves out edges nearly parallel to the cut: the fallback for polygons with no clear cut."""
+    e = edges(polygons).select("polygon_id", F.col("y0").alias("ey"), F.col("x0").alias("ex"), F.col("y1").alias("fy"), F.col("x1").alias("fx"))
+    turn = lambda ay, ax, by, bx, cy, cx: (F.col(by) - F.col(ay)) * (F.col(cx) - F.col(ax)) - (F.col(bx) - F.col(ax)) * (F.col(cy) - F.col(ay))
+    s = lambda *names: F.signum(turn(*names).cast("double"))
+    hit = (s("y0", "x0", "y1", "x1", "ey", "ex") * s("y0", "x0", "y1", "x1", "fy", "fx") < 0) & (s("ey", "ex", "fy", "fx", "y0", "x0") * s("ey", "ex", "fy", "fx", "y1", "x1") < 0)
+    uy, ux, vy, vx = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"), F.col("fy") - F.col("ey"), F.col("fx") - F.col("ex")
+    dot, size = (uy * vy + ux * vx).cast("double"), ((uy * uy + ux * ux) * (vy * vy + vx * vx)).cast("double")
+    slanted = dot * dot < F.lit(cos * cos) * size
+    return cuts.join(e, "polygon_id").groupBy("polygon_id", "a", "b").agg(F.sum((hit & slanted).cast("int")).alias("crossings"))
+
+
+def inside_within(cuts: DataFrame, polygons: DataFrame, radius: float) -> DataFrame:
+    """(polygon_id, a, b, inside): `middle_inside`, or a middle at most `radius` away from an edge."""
+    e = edges(polygons)
+    c = cuts.select("polygon_id", "a", "b", ((F.col("y0") + F.col("y1")) / 2).alias("my"), ((F.col("x0") + F.col("x1")) / 2).alias("mx"))
+    ey, ex = F.col("ey1") - F.col("ey0"), F.col("ex1") - F.col("ex0")
+    e = e.select("polygon_id", *[F.col(f"{k}{i}").alias(f"e{k}{i}") for k in "yx" for i in "01"])
+    j = c.join(e, "polygon_id")
+    size = (ey * ey + ex * ex).cast("double")
+    t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("my") - F.col("ey0")) * ey + (F.col("mx") - F.col("ex0")) * ex) / size))).otherwise(F.lit(0.0))
+    dy, dx = F.col("my") - F.col("ey0") - t * ey, F.col("mx") - F.col("ex0") - t * ex
+    near = j.groupBy("polygon_id", "a", "b").agg(F.min(F.round(dy * dy + dx * dx, 9)).alias("d2"))
+    return middle_inside(cuts, polygons).join(near, ["polygon_id", "a", "b"]).select("polygon_id", "a", "b", (F.col("inside") | (F.col("d2") <= radius * radius)).alias("inside"))
+
+
+def corner_vertices(polygons: DataFrame) -> DataFrame:
+    """(polygon_id, corner, pos, y, x): the corner of the polygon nearest to each corner of its box, the first on a tie."""
+    box = polygons.groupBy("polygon_id").agg(F.min("y").alias("y_min"), F.min("x").alias("x_min"), F.max("y").alias("y_max"), F.max("x").alias("x_max"))
+    four = F.explode(F.array(*[F.struct(F.lit(k).alias("corner"), F.col(a).alias("cy"), F.col(b).alias("cx")) for k, (a, b) in enumerate((("y_min", "x_min"), ("y_min", "x_max"), ("y_max", "x_max"), ("y_max", "x_min")))]))
+    c = box.select("polygon_id", four.alias("c")).select("polygon_id", "c.*")
+    d2 = (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")) + (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx"))
+    best = c.join(polygons, "polygon_id").groupBy("polygon_id", "corner").agg(F.min(F.struct(d2.alias("d2"), "pos", "y", "x")).alias("m"))
+    return best.select("polygon_id", "corner", "m.pos", "m.y", "m.x")
+
+
+def centroids(polygons: DataFrame) -> DataFrame:
+    """(polygon_id, y, x): the mean of the corners, down to whole numbers."""
+    return polygons.groupBy("polygon_id").agg(F.floor(F.sum("y") / F.count(F.lit(1))).cast("int").alias("y"), F.floor(F.sum("x") / F.count(F.lit(1))).cast("int").alias("x"))
+
+
 def subdivide(quads: DataFrame, s: int = 2) -> DataFrame:
     """(polygon_id, ti, bi, pos, y, x): s x s quads of each quad by bilinear interpolation, cut to whole numbers."""
     wide = quads.groupBy("polygon_id").agg(*[F.max(F.when(F.col("pos") == k, F.col(c))).alias(f"{c}{k}") for k in range(4) for c in "yx"])

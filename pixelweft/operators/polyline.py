@@ -52,14 +52,13 @@ def keep_points(p: np.ndarray, cutoff: float, strict: bool) -> list[int]:
     last point but not the split, so a split at index 1 loses point 0, and coincident ends keep the two ends only."""
 
     def far(a: int, b: int) -> tuple[int, float]:
-        q, s = p[a : b + 1], p[b] - p[a]
-        norm = float(np.hypot(*s))
-        start, end = np.hypot(*(q - p[a]).T), np.hypot(*(q - p[b]).T)
-        if norm == 0:
-            return (int(np.argmax(start)), float(start.max())) if strict else (0, float("nan"))
-        after, before = (q - p[a]) @ s > 0, (q - p[b]) @ s < 0
-        cross = np.abs((q[:, 1] - p[a][1]) * s[0] - (q[:, 0] - p[a][0]) * s[1]) / norm
-        d = after * before * cross + start * ~after + end * ~before
+        """Index and distance of the point between a and b that is farthest from the chord, its ends included."""
+        away, chord = p[a : b + 1] - p[a], p[b] - p[a]
+        size = float(chord @ chord)
+        if size == 0 and not strict:
+            return 0, float("nan")
+        along = np.clip(away @ chord / size, 0.0, 1.0) if size else np.zeros(len(away))
+        d = np.hypot(*(away - along[:, None] * chord).T)
         k = int(np.argmax(d))
         return k, float(d[k])
 
@@ -102,9 +101,9 @@ def simplify(lines: DataFrame, cutoff: float = 3.0, strict: bool = False) -> Dat
 
 
 def rasterize(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, i, y, x): pixels of lines (y0, x0)-(y1, x1). The longer axis steps by one, the other is cut, not rounded."""
+    """(keys, i, y, x): pixels of lines (y0, x0)-(y1, x1). The longer axis steps by one, the other is cut toward zero."""
     dy, dx = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
     n = F.greatest(F.abs(dy), F.abs(dx))
     out = edges.withColumn("__n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("__n"))))
-    at = lambda a, d: F.when(F.col("__n") == 0, F.col(a)).otherwise(F.floor(F.col(a) + F.col("i") * d / F.col("__n"))).cast("int")
+    at = lambda a, d: F.when(F.col("__n") == 0, F.col(a)).otherwise((F.col(a) + F.col("i") * d / F.col("__n")).cast("int")).cast("int")
     return out.select(*keys, "i", at("y0", dy).alias("y"), at("x0", dx).alias("x"))

@@ -167,19 +167,49 @@ def _parts(points: set, steps: tuple) -> list[set]:
     return out
 
 
+def region_graph(region_pixels: DataFrame) -> DataFrame:
+    """(image_id, a, b): regions that touch, corners too, in both directions."""
+    from pixelweft.schema import around
+
+    other = region_pixels.select("image_id", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("region_id").alias("b"))
+    near = around(region_pixels.select("image_id", "y", "x", F.col("region_id").alias("a")), RING)
+    return near.join(other, ["image_id", "ny", "nx"]).where("a <> b").select("image_id", "a", "b").distinct()
+
+
 def complement_parts(region_pixels: DataFrame) -> DataFrame:
-    """(image_id, region_id, n, exterior): 8-connected parts of what a region leaves; exterior ones touch the frame."""
+    """(image_id, region_id, n, exterior): 8-connected parts of what a region leaves; exterior ones touch the frame.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        h, w = rows.y.max(), rows.x.max()
+    Regions hang together, so the parts are those of the graph of regions without the one: pixels are read once, and
+    a task holds the regions of an image and what touches what.
+    """
+    ends = region_pixels.groupBy("image_id").agg(F.max("y").alias("h"), F.max("x").alias("w"))
+    nodes = region_pixels.join(ends, "image_id").groupBy("image_id", "region_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("y").isin(0) | F.col("x").isin(0) | (F.col("y") == F.col("h")) | (F.col("x") == F.col("w"))).alias("exterior"))
+
+    def run(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, list[int]] = {r: [] for r in nodes.region_id}
+        for a, b in zip(edges.a, edges.b, strict=True):
+            near[a].append(b)
+        n, exterior = dict(zip(nodes.region_id, nodes.n, strict=True)), dict(zip(nodes.region_id, nodes.exterior, strict=True))
         out = []
-        for r in sorted(rows.region_id.unique()):
-            other = rows[rows.region_id != r]
-            for part in _parts(set(zip(other.y, other.x, strict=True)), RING):
-                out.append((rows.image_id.iloc[0], r, len(part), any(y in (0, h) or x in (0, w) for y, x in part)))
+        for r in sorted(near):
+            seen = {r}
+            for start in sorted(near):
+                if start in seen:
+                    continue
+                part, todo = [], [start]
+                seen.add(start)
+                while todo:
+                    k = todo.pop()
+                    part.append(k)
+                    new = [m for m in near[k] if m not in seen]
+                    seen.update(new)
+                    todo += new
+                out.append((key[0], r, sum(n[k] for k in part), any(exterior[k] for k in part)))
         return pd.DataFrame(out, columns=["image_id", "region_id", "n", "exterior"])
 
-    return region_pixels.groupBy("image_id").applyInPandas(run, "image_id int, region_id int, n long, exterior boolean")
+    edges = region_graph(region_pixels)
+    edges = edges.select(*[F.col(c).alias(c) for c in edges.columns])
+    return nodes.groupBy("image_id").cogroup(edges.groupBy("image_id")).applyInPandas(run, "image_id int, region_id int, n long, exterior boolean")
 
 
 def quadtree(grid: DataFrame, depth: int = 5) -> DataFrame:
@@ -197,3 +227,69 @@ def quadtree(grid: DataFrame, depth: int = 5) -> DataFrame:
         out = done if out is None else out.unionByName(done)
         open_ = cell.where(~F.col("one")).select("image_id", "y", "x", "value")
     return out
+
+
+def label_quadtree(grid: DataFrame, depth: int = 5) -> DataFrame:
+    """The regions of `label_relational` from the quad-tree: leaves of one value that touch are components, each found
+    without looking at pixels; the pixels get their leaf's label at the end. Images are up to 2 ** depth wide and high."""
+    from .spatial import rect_contacts
+
+    leaf = settle(quadtree(grid, depth).withColumn("top", F.col("cy") * F.col("size")).withColumn("left", F.col("cx") * F.col("size")), "leaves")
+    leaf = leaf.withColumn("bottom", F.col("top") + F.col("size") - 1).withColumn("right", F.col("left") + F.col("size") - 1)
+    side = 1 << depth
+    leaf = leaf.withColumn("rect_id", F.col("image_id").cast("long") * side * side + F.col("top") * side + F.col("left"))
+    touch = rect_contacts(leaf, ["image_id", "value"])
+    roots = connected_components(touch.select("a", "b"))
+    named = leaf.join(roots, leaf["rect_id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "rect_id"))
+    cells = named.select("image_id", "level", "cy", "cx", "root")
+    levels = grid.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    at = lambda c: F.floor(F.col(c) / F.expr(f"shiftright({side}, level)")).cast("int")
+    rows = levels.withColumn("cy", at("y")).withColumn("cx", at("x")).join(cells, ["image_id", "level", "cy", "cx"]).select("image_id", "y", "x", "value", "root")
+    first = rows.groupBy("image_id", "root").agg(F.min(F.struct("y", "x")).alias("first"))
+    ids = first.withColumn("region_id", (F.row_number().over(Window.partitionBy("image_id").orderBy("first")) - 1).cast("int"))
+    return rows.join(ids, ["image_id", "root"]).select("image_id", "y", "x", "region_id", "value")
+
+
+def label_seeded(grid: DataFrame, seeds: int = 100) -> DataFrame:
+    """The same from many seeds at once: evenly dealt seeds spread over equal values, one ring a step; where two meet,
+    they are merged. Pixels that none has reached seed the next round. One image to a task."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["y", "x"], ignore_index=True)
+        h, w = int(rows.y.max()) + 1, int(rows.x.max()) + 1
+        value = np.full((h + 2, w + 2), np.iinfo(np.int64).min)
+        place = (rows.y.to_numpy() + 1) * (w + 2) + rows.x.to_numpy() + 1
+        value.ravel()[place] = rows.value.to_numpy()
+        value = value.ravel()
+        steps = np.array([dy * (w + 2) + dx for dy, dx in RING])
+        label = np.full(len(value), -1)
+        parent: list[int] = []
+
+        def find(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        while len(left := place[label[place] < 0]):
+            front = np.unique(left[np.linspace(0, len(left) - 1, min(seeds, len(left))).astype(int)])
+            label[front] = len(parent) + np.arange(len(front))
+            parent += range(len(parent), len(parent) + len(front))
+            while len(front):
+                near = (front[:, None] + steps).ravel()
+                source = np.repeat(front, len(steps))
+                same = value[near] == value[source]
+                near, source = near[same], source[same]
+                met = (label[near] >= 0) & (label[near] != label[source])
+                for a, b in np.unique(np.stack([label[near[met]], label[source[met]]], axis=1), axis=0):
+                    a, b = find(int(a)), find(int(b))
+                    parent[max(a, b)] = min(a, b)
+                new = label[near] < 0
+                front, first = np.unique(near[new], return_index=True)
+                label[front] = label[source[new][first]]
+        root = np.array([find(int(k)) for k in label[place]])
+        _, first, back = np.unique(root, return_index=True, return_inverse=True)
+        rows["region_id"] = np.argsort(np.argsort(first))[back].astype(np.int32)
+        return rows[["image_id", "y", "x", "region_id", "value"]]
+
+    return grid.groupBy("image_id").applyInPandas(run, REGION_PIXELS)

@@ -102,6 +102,17 @@ def adjacency(points: DataFrame, keys: list[str]) -> DataFrame:
     return around(points.select(*keys, "y", "x").distinct(), RING).join(other, [*keys, "ny", "nx"], "left_semi").select(*keys, "y", "x", "ny", "nx")
 
 
+def tiled_adjacency(points: DataFrame, keys: list[str], size: int = 16) -> DataFrame:
+    """The edges of `adjacency`, tile by tile: a point lies in its own tile and in those that it is a neighbour of."""
+    p = points.select(*keys, "y", "x").distinct()
+    tile = lambda c: F.floor(F.col(c) / size)
+    own = p.withColumn("ty", tile("y")).withColumn("tx", tile("x"))
+    near = around(p, RING).select(*keys, "y", "x", tile("ny").alias("ty"), tile("nx").alias("tx")).union(own).distinct()
+    a, b = own, near.select(*keys, "ty", "tx", F.col("y").alias("ny"), F.col("x").alias("nx"))
+    at = around(a, RING)
+    return at.join(b, [*keys, "ty", "tx", "ny", "nx"], "left_semi").select(*keys, "y", "x", "ny", "nx")
+
+
 def border_adjacency(border: DataFrame, region_pixels: DataFrame) -> DataFrame:
     """Edges between border pixels of a pair that have a common neighbour in the other region."""
     keys = ["image_id", "region_id", "other_id"]

@@ -13,21 +13,35 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a new one where the session names none."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pixelweft-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def settle(df: DataFrame, name: str = "round") -> DataFrame:
-    """Cuts lineage with a written table, which goes when the application ends."""
+    """Cuts lineage with a written table, which goes with `discard` or when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    where, fs = _folder(spark, path)
     fs.mkdirs(where)
     fs.deleteOnExit(where)
     df.write.parquet(path + "/table")
-    return spark.read.schema(df.schema).parquet(path + "/table")
+    out = spark.read.schema(df.schema).parquet(path + "/table")
+    out.scratch = path
+    return out
+
+
+def discard(settled: DataFrame) -> None:
+    """Deletes the table behind what `settle` gave; nothing that is still to be computed may read it."""
+    where, fs = _folder(settled.sparkSession, settled.scratch)
+    fs.delete(where, True)
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -53,8 +67,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select("u", "m"))
-        work = settle(small.where("a <> b").distinct())
+        last, work = work, settle(small.where("a <> b").distinct())
         now = mark(work)
+        discard(last)
         if now == seen:
             break
         seen = now

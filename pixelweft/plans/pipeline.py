@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelweft.operators import borders, color, gradient, mesh, polygon, polyline, regions, stencil
+from pixelweft.operators import borders, color, gradient, holes, mesh, polygon, polyline, regions, stencil
 from pixelweft.plans.fixpoint import settle
 from pixelweft.sources.images import Options
 
@@ -18,25 +18,30 @@ def gradient_fill(pixels: DataFrame, options: Options | None = None) -> DataFram
 
 
 def region_pixels(pixels: DataFrame, options: Options | None = None) -> DataFrame:
+    """Pixels with region ids: rare values folded, tiny regions merged, regions with holes cut open."""
     o = options or Options()
     grid = color.value_grid(pixels, color.fold_sequential(pixels, o.region_proportion_threshold))
-    return regions.merge_tiny(regions.label_kernel(grid), o.region_defuzz_threshold)
+    merged = settle(regions.merge_tiny(regions.label_kernel(grid), o.region_defuzz_threshold), "merged-regions")
+    return holes.cut_holes(merged, o.sideways_cut_penalty)
 
 
 def region_polygons(pixels: DataFrame, options: Options | None = None) -> DataFrame:
-    """(polygon_id, image_id, region_id, pos, y, x): simplified borders of each region, joined end to end."""
+    """(polygon_id, pos, y, x): simplified borders of each region, joined end to end; ends that follow each other are
+    drawn together. Raises `TraversalError` if a walk leaves out more pixels than options tolerate."""
     o = options or Options()
     rp = settle(region_pixels(pixels, o), "regions")
     border = settle(stencil.drawn_border(rp), "border")
-    seg = borders.segments(border, stencil.border_adjacency(border, rp))
+    seg = settle(borders.segments(border, stencil.border_adjacency(border, rp)), "segments")
     inner = rp.withColumnRenamed("region_id", "rid")
     inner = inner.select("image_id", F.col("rid").alias("region_id"), "y", "x", "value")
     walked = settle(borders.walks(seg, inner), "walks")
+    borders.check_traversal(seg, walked, o.border_traversal_failure_tolerance)
     lines = walked.select(F.concat_ws("/", *borders.PAIR, "segment").alias("line_id"), "pos", "y", "x")
     kept = polyline.simplify(lines, o.decimate_deviation_cutoff, strict=True)
     tours = borders.region_loops(walked, o.border_defuzz_threshold)
     side = tours.select("image_id", "region_id", "step", "end", F.explode(F.array(F.concat_ws("/", "image_id", "region_id", "other_id", "segment"), F.concat_ws("/", "image_id", "other_id", "region_id", "segment"))).alias("line_id"))
-    joined = side.join(kept, "line_id")
+    side = settle(side.join(lines.select("line_id").distinct(), "line_id", "left_semi"), "tours")
+    joined = side.join(borders.cinched(settle(kept, "simplified"), borders.links(side)), "line_id")
     order = F.struct("step", F.when(F.col("end") == 0, -F.col("pos")).otherwise(F.col("pos")).alias("p"), "line_id")
     named = joined.withColumn("polygon_id", F.concat_ws("/", "image_id", "region_id"))
     ranked = named.withColumn("pos", F.row_number().over(Window.partitionBy("polygon_id").orderBy(order)))
@@ -49,10 +54,10 @@ def mesh_quads(pixels: DataFrame, options: Options | None = None) -> DataFrame:
     Each image is one mesh: pieces of at most four corners, smoothed; triangles turned into quads; subdivided; smoothed.
     """
     o = options or Options()
-    polys = region_polygons(pixels, o)
+    polys = settle(region_polygons(pixels, o), "region-polygons")
     good = polygon.measures(polys).where("valid").select("polygon_id")
-    parts = polygon.partition(polys.join(good, "polygon_id", "left_semi"), "quads")
-    parts = parts.withColumn("group_id", F.regexp_replace("polygon_id", "/[^/]*$", ""))
+    named = settle(polys.join(good, "polygon_id", "left_semi"), "polygons").withColumn("group_id", F.regexp_replace("polygon_id", "/[^/]*$", ""))
+    parts = polygon.mesh_partition(named, "group_id", o.edge_subdivide_ratio)
     quads = settle(mesh.quad_mesh(parts, "group_id", o.mesh_smooth_convergence_ratio), "quads")
     named = quads.select(F.concat_ws("/", "polygon_id", "part").alias("polygon_id"), "pos", "y", "x")
     fine = polygon.subdivide(named, o.polygon_subdivisions).withColumn("polygon_id", F.concat_ws("/", "polygon_id", "ti", "bi")).drop("ti", "bi")

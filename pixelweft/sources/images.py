@@ -49,6 +49,11 @@ def default_output(path: str, suffix: str) -> str:
     return f"{stem}{suffix}.{end}" if dot and "/" not in end else f"{path}{suffix}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(image_id, y, x, r, g, b, a) of image files, numbered by name. Rows hold bytes in BGR(A) order, or grey."""
     raw = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
