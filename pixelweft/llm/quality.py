@@ -68,7 +68,6 @@ def measure(texts: pa.Array, window: int = 8) -> dict[str, np.ndarray]:
     value = mix64(folded + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     heads = np.cumsum(words[filled]) - words[filled]
     out |= {"line_text": text, "line_words": words[filled].astype(np.int64), "line_hash": mix64(np.add.reduceat(value, heads)) if len(filled) else np.zeros(0, np.uint64)}
-    out["text_hash"] = span_hash(prefix, offsets[:-1], offsets[1:])
     return out
 
 
@@ -86,15 +85,15 @@ def metrics(docs: DataFrame, key: str = "doc_id", host: str = "source", window:
             sums = np.add.reduceat(c, head) if len(head) else c
             sizes = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(t[head], minlength=n))]).astype(np.int32)
             lines = pa.ListArray.from_arrays(pa.array(sizes), pa.StructArray.from_arrays([pa.array(h[head].view(np.int64)), pa.array(sums)], ["h", "w"]))
-            cols = [batch.column(0), batch.column(1), pa.array(x["text_hash"].view(np.int64)), *[pa.array(x[f.split()[0]].astype(np.int64)) for f in FIELDS.split(", ")], lines]
+            cols = [batch.column(0), batch.column(1), batch.column(3), *[pa.array(x[f.split()[0]].astype(np.int64)) for f in FIELDS.split(", ")], lines]
             yield pa.record_batch(cols, ["__key", "__host", "th", *[f.split()[0] for f in FIELDS.split(", ")], "lines"])
 
     kind, at = docs.schema[key].dataType.simpleString(), docs.schema[host].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("__key"), F.col(host).alias("__host"), F.col("text").alias("__text"))
+    rows = docs.select(F.col(key).alias("__key"), F.col(host).alias("__host"), F.col("text").alias("__text"), F.xxhash64("text").alias("__th"))
     return rows.mapInArrow(run, f"__key {kind}, __host {at}, th long, {FIELDS}, lines array<struct<h:long,w:long>>")
 
 
-def judge(docs: DataFrame, max_docs: int = 50, min_left: float = 0.5, min_words: int = 20, salts: int = 16) -> DataFrame:
+def verdicts(docs: DataFrame, max_docs: int = 50, min_left: float = 0.5, min_words: int = 20, salts: int = 16) -> DataFrame:
     """Metrics and verdict of each row of documents.
 
     Lines are compared by their lower-case words. A line that more than `max_docs` documents of one host (column
@@ -116,10 +115,19 @@ def judge(docs: DataFrame, max_docs: int = 50, min_left: float = 0.5, min_words:
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     kept = ~failed & (left >= F.col("n_words") * F.lit(min_left)) & (left >= min_words)
     names = [f.split()[0] for f in FIELDS.split(", ")]
-    return rows.select(F.col("__key").alias("doc_id"), *names, failed.alias("base_failed"), kept.alias("kept"), F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed_words"), F.coalesce("n_removed_lines", F.lit(0)).cast("long").alias("n_removed_lines"))
+    return rows.select(F.col("__key").alias("doc_id"), "__host", "th", *names, failed.alias("base_failed"), kept.alias("kept"), F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed_words"), F.coalesce("n_removed_lines", F.lit(0)).cast("long").alias("n_removed_lines"))
+
+
+def judge(docs: DataFrame, **limits: float) -> DataFrame:
+    """`verdicts` by doc_id alone: a row for each row of documents."""
+    return verdicts(docs, **limits).drop("__host", "th")
 
 
 def keep_good(docs: DataFrame, **limits: float) -> DataFrame:
-    """Documents that the rules keep."""
-    good = judge(docs, **limits).where("kept").select(F.col("doc_id").alias("__good")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(F.col("__good")), "left_semi")
+    """Documents that the rules keep, with their columns; each row by its own verdict, also where rows share an id.
+
+    Rows without words fail. Rows that repeat stay as often as they stand. An empty table gives no rows.
+    """
+    good = verdicts(docs, **limits).where("kept").select(F.col("doc_id").alias("__good"), F.col("__host").alias("__of"), F.col("th").alias("__th")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("__good")) & docs["source"].eqNullSafe(F.col("__of")) & (F.xxhash64(docs["text"]) == F.col("__th"))
+    return docs.join(good, same, "left_semi")
