@@ -22,6 +22,8 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="pixelweft-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -40,11 +42,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it again: lineage ends there, and losing an executor loses nothing."""
     spark = df.sparkSession
@@ -57,6 +54,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def name_of(key: Column) -> Column:
+    """A key as text; null has a name of its own."""
+    return F.coalesce(key.cast("string"), F.lit("\0null"))
+
+
 def stable_hash(*keys: Column) -> Column:
     """52 bits of an MD5, as a long: every engine computes the same, and doubles hold it exactly."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *keys).cast("binary")), 1, 13), 16, 10).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HASH_SPAN, WORD, buckets_for, materialize, running_sum, stable_hash
+from .common import HASH_SPAN, WORD, buckets_for, materialize, name_of, running_sum, stable_hash
 
 
 def word_count(text: Column) -> Column:
@@ -54,7 +54,7 @@ def repetitions(docs: DataFrame, key: str, sources: DataFrame, seed: str = "mix-
     docs = docs.withColumn("__missing", F.col("target") - F.col("__whole") * F.col("source_size"))
     docs = docs.withColumn("__large", F.col("size") > F.col("__missing") * F.lit(large))
     docs = docs.withColumn("__group", F.struct(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("n"), F.col("__large").alias("l")))
-    h = stable_hash(F.coalesce(F.col(key).cast("string"), F.lit("\0null")), F.lit(seed))
+    h = stable_hash(name_of(F.col(key)), F.col("size").cast("string"), F.lit(seed))
     docs = docs.withColumn("__h", h).withColumn("__bucket", F.floor(F.col("__h") * F.lit(buckets / HASH_SPAN)).cast("long"))
     docs = running_sum(docs, "__group", "__bucket", [F.col("__h"), F.col(key), F.col("size")], F.col("size"), "__before")
     long_size = docs.where("__large").groupBy("source").agg(F.sum("size").alias("__long_size"))
@@ -87,13 +87,19 @@ def mix_plan(docs: DataFrame, max_epochs: float = 3.0, seed: str = "mix-1") -> D
 def mix(docs: DataFrame, max_epochs: float = 3.0, seed: str = "mix-1") -> DataFrame:
     """The mixed documents themselves: each as often as the mix takes it, with the columns of `docs`.
 
-    Rows without words belong to no share of any source and are left out.
+    Rows without words belong to no share of any source and are left out. Repeated rows, and rows that share an id or
+    have none, are taken as often as the plan takes each of them. An empty table gives no rows.
     """
-    keyed = docs.withColumn("__words", word_count(F.col("text")))
-    rows = materialize(keyed.select("doc_id", "source", F.col("__words").alias("size")), "sizes")
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    keyed = docs.withColumn("__of", name("doc_id")).withColumn("__from", name("source")).withColumn("__words", word_count(F.col("text"))).withColumn("__th", F.xxhash64("text"))
+    on = ["__of", "__from", "__words", "__th"]
+    rows = materialize(keyed.select("doc_id", "source", F.col("__words").alias("size"), *on), "sizes")
     plan = repetitions(rows, "doc_id", _sources(rows, max_epochs), seed)
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.max("reps").alias("reps")).where("reps > 0")
-    plan = plan.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("reps").alias("__reps"))
-    on = keyed["doc_id"].eqNullSafe(plan["__d"]) & keyed["source"].eqNullSafe(plan["__s"]) & (keyed["__words"] == plan["__n"])
-    taken = keyed.join(plan, on).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__reps"))))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Rows that are equal in all this are numbered; `shares` tells how many of them are taken so often, most first.
+    shares = plan.groupBy(*on, "reps").agg(F.count(F.lit(1)).alias("rows")).groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("reps", "rows")), asc=False).alias("__shares"))
+    shares = shares.where("__shares[0].reps > 0")
+    taken = keyed.join(shares, on).withColumn("__i", F.row_number().over(Window.partitionBy(*on).orderBy(F.lit(0))))
+    add = lambda got, x: F.struct((got["seen"] + x["rows"]).alias("seen"), F.when(got["seen"] < F.col("__i"), x["reps"]).otherwise(got["reps"]).alias("reps"))
+    reps = F.aggregate("__shares", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).alias("reps")), add)["reps"]
+    taken = taken.withColumn("__reps", F.when(F.size("__shares") == 1, F.col("__shares")[0]["reps"]).otherwise(reps)).where("__reps > 0")
+    return taken.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__reps")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -75,15 +75,15 @@ tab AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
 d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 b AS (SELECT doc_id, length(x) // 2 AS n, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::INT, 2))::BIGINT) AS v FROM d),
 c AS (SELECT doc_id, (n + 1)::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, v), lambda s, y: xor(s >> 8, t[(xor(s, y) & 255) + 1])), 4294967295::BIGINT)::BIGINT AS text_crc32 FROM b, tab),
-s AS (SELECT *, {cost(16)}::INT AS shard, {cost(17)}::INT AS grown_shard, {_HASH.format(key + " || '|slot'")} AS h FROM c)
+s AS (SELECT *, {cost(16)}::INT AS shard, {cost(17)}::INT AS grown_shard, {_HASH.format(key + " || '|' || text_crc32 || '|' || size || '|slot'")} AS h FROM c)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
   (row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, grown_shard
 FROM s"""
 
 
 _OP8 = f"""
-WITH r AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-    {_HASH.format("coalesce(doc_id::VARCHAR, chr(0) || 'null') || '|mix-1'")} AS h FROM documents),
+WITH n AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+r AS (SELECT *, {_HASH.format("coalesce(doc_id::VARCHAR, chr(0) || 'null') || '|' || size || '|mix-1'")} AS h FROM n),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight FROM r GROUP BY source),
 c AS (SELECT *, source_size * 3.0::DOUBLE AS cap, source_size * 3.0::DOUBLE / weight AS ratio FROM s),
 l AS (SELECT *, (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER w, 0) AS rest,

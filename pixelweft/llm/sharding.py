@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_SPAN, buckets_for, running_sum, stable_hash
+from .common import HASH_SPAN, buckets_for, name_of, running_sum, stable_hash
 
 
 def rendezvous(key: Column, shards: Sequence[tuple[int, float]]) -> Column:
@@ -18,7 +18,7 @@ def rendezvous(key: Column, shards: Sequence[tuple[int, float]]) -> Column:
     """
     if not shards or any(w <= 0 for _, w in shards):
         raise ValueError("shards need ids with weights above zero")
-    name = F.coalesce(key.cast("string"), F.lit("\0null"))
+    name = name_of(key)
     scores = [
         F.struct((-F.log((stable_hash(name, F.lit(str(i))) + 0.5) / F.lit(HASH_SPAN)) / F.lit(float(w))).alias("cost"), F.lit(int(i)).alias("shard"))
         for i, w in shards
@@ -27,17 +27,22 @@ def rendezvous(key: Column, shards: Sequence[tuple[int, float]]) -> Column:
 
 
 def assign_shards(df: DataFrame, key: str, shards: Sequence[tuple[int, float]], out: str = "shard") -> DataFrame:
-    """Adds the shard of each row. Repeated keys meet in one shard; empty tables stay empty; other columns are kept."""
+    """Adds the shard of each row in a column `out`, which replaces one of that name; other columns are kept.
+
+    Repeated keys meet in one shard; empty tables stay empty.
+    """
     return df.withColumn(out, rendezvous(F.col(key), shards))
 
 
 def number_slots(df: DataFrame, key: str, ties: Sequence[str] = (), shard: str = "shard", out: str = "slot") -> DataFrame:
-    """Numbers the rows of each shard from 0 without gaps, in a hashed order of their keys.
+    """Numbers the rows of each shard from 0 without gaps, in a column `out`, which replaces one of that name.
 
-    A shard is dealt over buckets that grow in number with the rows, so no task holds a whole shard.
+    Rows stand in the order of a hash of key and `ties`, which tell rows with equal keys apart; rows equal in these
+    too are numbered in any order. A shard is dealt over buckets of that hash that grow in number with the rows, so no
+    task holds a whole shard, and a key that many rows share is dealt as well.
     """
     buckets = buckets_for(df.count())
-    h = stable_hash(F.coalesce(F.col(key).cast("string"), F.lit("\0null")), F.lit("slot"))
+    h = stable_hash(name_of(F.col(key)), *[name_of(F.col(t)) for t in ties], F.lit("slot"))
     df = df.withColumn("__h", h).withColumn("__bucket", F.floor(F.col("__h") * F.lit(buckets / HASH_SPAN)).cast("long"))
     order = [F.col("__h"), F.col(key), *[F.col(t) for t in ties]]
     return running_sum(df, shard, "__bucket", order, F.lit(1), out).drop("__h", "__bucket")
