@@ -189,12 +189,13 @@ def sample(docs: DataFrame, labels: DataFrame, grade: Column, per_grade: int, gr
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 3000, levels: int = 3) -> Model:
-    """The model for labels toxic 0 and 1, from at most `per_grade` labelled documents of each: the bound of the fit.
+    """The model for labels toxic 0, 1, ..., from at most `per_grade` labelled documents of each: the bound of the fit.
 
     One task fits these rows, so their texts and features take no memory of the driver, which gets the model only.
-    Labels that are null, name no document or name one twice: left out, left out, the higher counts.
+    Labels that are null or below 0, name no document or name one twice: left out, left out, the higher counts.
+    Labels above `levels` count as that grade; if none is above 1, grade 1 is split into `levels` grades (`train`).
     """
-    rows = sample(docs, labels, F.col("toxic").cast("int"), per_grade, 2)
+    rows = sample(docs, labels, F.least(F.col("toxic").cast("int"), F.lit(levels)), per_grade, levels + 1)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [row for batch in source for row in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
@@ -224,12 +225,21 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def severity_report(docs: DataFrame, labels: DataFrame, per_grade: int = 3000, levels: int = 3, threshold: float = 0.5) -> DataFrame:
-    """doc_id, severity, toxic for every row of documents."""
+    """doc_id, severity, toxic for every row of documents.
+
+    Null, empty and blank texts have no words and severity 0; whole texts count, however long. Repeated rows and ids,
+    null ones too, come back as often as they stand, each by its own text; columns beyond doc_id and text are left
+    out. Empty or all-null labels, or labels of one grade, leave no model: severity 0. No documents: no rows.
+    """
     model = fit(docs, labels, per_grade, levels)
     out = score(docs.select("doc_id", "text"), model, threshold)
     return out.select("doc_id", F.col("__severity").alias("severity"), F.col("__toxic").alias("toxic"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, per_grade: int = 3000, levels: int = 3, threshold: float = 0.5) -> DataFrame:
-    """Documents below the threshold."""
+    """Documents below the threshold, with all their columns, whatever these are named.
+
+    Cases are those of `severity_report`: texts without words stay, repeated rows and ids are judged by their own
+    texts, and without a model all documents stay.
+    """
     return score(docs, fit(docs, labels, per_grade, levels), threshold).where("NOT __toxic").drop("__severity", "__toxic")
