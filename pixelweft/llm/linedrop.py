@@ -50,10 +50,28 @@ def choices(filled: int) -> list[tuple[int, ...]]:
     return list(combinations(own, -(-filled * AGREE // BANDS)))
 
 
-def templates(lines: DataFrame) -> DataFrame:
-    """(line, template) of the distinct lines that join another one."""
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """(line, many, b0..b7): each line once, with how often it stands."""
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("many"), *[F.first(f"b{k}").alias(f"b{k}") for k in range(BANDS)])
+
+
+def looked_up(rows: DataFrame, key: str, place: list[str], found: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows with `value` of a table (key, value), null if it has none, of a table `found` whose keys may be very common.
+
+    hot: the rows (key, value or null) of keys that hold a thousandth of all rows or more each, so there are at most a
+    thousand and they are broadcast. Their rows go to the other join under a hash of their `place` instead, which
+    spreads them; what they might meet there by chance doesn't count.
+    """
+    few = hot.select(F.col(key).alias("__k"), F.col("value").alias("__v"), F.lit(True).alias("__hot"))
+    rows = rows.join(F.broadcast(few), F.col(key) == F.col("__k"), "left")
+    rows = rows.withColumn("__key", F.when(F.col("__hot"), F.xxhash64(*place)).otherwise(F.col(key)))
+    rows = rows.join(found.select(F.col(key).alias("__f"), F.col("value").alias("__w")), F.col("__key") == F.col("__f"), "left")
+    return rows.withColumn("value", F.when(F.col("__hot"), F.col("__v")).otherwise(F.col("__w"))).drop("__k", "__v", "__hot", "__key", "__f", "__w")
+
+
+def templates(own: DataFrame) -> DataFrame:
+    """(line, template) of those of the distinct lines that join another one."""
     names = [f"b{k}" for k in range(BANDS)]
-    own = materialize(lines.groupBy("line").agg(F.count(F.lit(1)).alias("many"), *[F.first(b).alias(b) for b in names]), "distinct-lines")
     # Lines that agree differ in at most three bands and have one of four pairs of bands in common: others are left out.
     pairs = [F.when(F.coalesce(f"b{k}", f"b{k + 1}").isNotNull(), F.xxhash64(F.lit(k), F.col(f"b{k}"), F.col(f"b{k + 1}"))) for k in range(0, BANDS, 2)]
     keyed = own.select("line", F.explode(F.array_compact(F.array(*pairs))).alias("key")).repartition("key")
@@ -87,14 +105,17 @@ def recurring_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     one document, and rows with a null doc_id and one text too.
     """
     lines = materialize(lines_of(docs), "lines")
-    joined = templates(lines).withColumnRenamed("line", "__line")
-    named = lines.select("doc_id", "th", "pos", "line").join(joined, F.col("line") == F.col("__line"), "left")
-    named = named.select("doc_id", "th", "pos", F.coalesce("template", "line").alias("template"))
-    named = materialize(named, "line-templates")
-    often = named.select("template", "doc_id").distinct().groupBy("template").count().where(F.col("count") >= min_docs)
-    often = often.select(F.col("template").alias("__t"))
-    marked = named.join(often, F.col("template") == F.col("__t"), "left")
-    found = marked.groupBy("doc_id", "th").agg(F.countDistinct("pos").alias("n_lines"), F.collect_set(F.when(F.col("__t").isNotNull(), F.col("pos"))).alias("dropped"))
+    own = materialize(distinct_lines(lines), "distinct-lines")
+    total = own.agg(F.sum("many")).first()[0] or 0
+    joined = materialize(templates(own).withColumnRenamed("template", "value"), "joined-lines")
+    hot = own.where(F.col("many") * 1000 > total).select("line").join(joined, "line", "left")
+    named = looked_up(lines.select("doc_id", "th", "pos", "line"), "line", ["doc_id", "th", "pos"], joined, hot)
+    named = materialize(named.select("doc_id", "th", "pos", F.coalesce("value", "line").alias("template")), "line-templates")
+    often = materialize(named.select("template", "doc_id").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("value")), "template-documents")
+    total = often.agg(F.sum("value")).first()[0] or 0
+    often = often.where(F.col("value") >= min_docs)
+    marked = looked_up(named, "template", ["doc_id", "th", "pos"], often, often.where(F.col("value") * 1000 > total))
+    found = marked.groupBy("doc_id", "th").agg(F.countDistinct("pos").alias("n_lines"), F.collect_set(F.when(F.col("value").isNotNull(), F.col("pos"))).alias("dropped"))
     found = found.select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), "n_lines", F.array_sort("dropped").alias("dropped"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"))
     out = rows.join(found, rows["doc_id"].eqNullSafe(F.col("__d")) & (rows["th"] == F.col("__h")), "left")
@@ -103,7 +124,11 @@ def recurring_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
-    """Documents without the lines of recurring templates; the other columns stay."""
+    """Documents without the lines of recurring templates; the other columns stay, whatever their names.
+
+    Lines are dropped, not documents: one of which nothing is left has the text "". Null texts stay null, lines without
+    a token stay, rows that repeat lose the same lines. Whole texts count, however long. An empty table gives no rows.
+    """
     found = recurring_lines(docs, min_docs).where("n_dropped > 0").select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), F.col("dropped").alias("__drop")).distinct()
     keyed = docs.withColumn("__th", F.xxhash64("text"))
     out = keyed.join(found, keyed["doc_id"].eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")), "left")
