@@ -15,21 +15,21 @@ from math import ceil, comb, floor
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelweft.plans.fixpoint import connected_components
 
-from .common import materialize, mix64, prefix_hash, span_hash
+from .common import batches, materialize, mix64, prefix_hash, span_hash
 
 BITS = 64
-#: Parts of a shingle set that get fingerprints for each range of sizes.
+#: Parts of a shingle set that get fingerprints for each range of sizes, at most.
 PARTS = 24
-#: Sets up to this size are searched by their least shingles, larger than the second size by their parts.
-SMALL, LARGE = 31, 20
 #: A probe row costs about a microsecond to make and move, a candidate pair some nanoseconds to verify.
 PROBE_COST, VERIFY_COST = 1.0, 0.02
 BRUTE = 4096
+#: Fingerprints of a bucket that one task searches.
+CROWD = 200_000
 
 
 # --- fingerprints ----------------------------------------------------------------------------------------------------
@@ -249,13 +249,36 @@ def link_sorted(group: np.ndarray, fps: np.ndarray, radius: int, small: int = 64
     return forest(np.concatenate(a), np.concatenate(b))
 
 
-def links(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """Links (a, b) that connect whatever distinct fingerprints within the radius connect."""
+def spread_links(fps: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that connect whatever fingerprints of one table within the radius connect, dealt by words over tasks.
+
+    As `link_dense`: each fingerprint goes to all words at most radius - radius // 2 bits away, and all that meet at a
+    word are linked to the least of those at most radius // 2 bits from it. A task thins its links to a forest.
+    """
+    low, high = radius // 2, radius - radius // 2
+    turns = [(k > low, signed(sum(1 << b for b in c))) for k in range(high + 1) for c in combinations(range(BITS), k)]
+    masks = F.array(*[F.struct(F.lit(far).alias("far"), F.lit(mask).alias("mask")) for far, mask in turns])
+    met = fps.select("fp", F.explode(masks).alias("m")).select(F.col("fp").bitwiseXOR(F.col("m.mask")).alias("word"), F.col("m.far").alias("far"), "fp").repartition("word")
+    lead = met.groupBy("word").agg(F.min(F.struct("far", "fp")).alias("lead")).where("NOT lead.far").select("word", F.col("lead.fp").alias("b"))
+
+    def thin(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = b = np.zeros(0, np.int64)
+        for batch in source:
+            x, y = (np.asarray(c).astype(np.int64) for c in batch.columns)
+            a, b = forest(np.concatenate([a, x]), np.concatenate([b, y]))
+        yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return met.join(lead, "word").where("fp <> b").select(F.col("fp").alias("a"), "b").mapInArrow(thin, "a long, b long")
+
+
+def links(fps: DataFrame, radius: int = 3, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) that connect whatever distinct fingerprints within the radius connect.
+
+    Buckets are searched in one task each; those of more than `crowd` fingerprints by `spread_links`, in many.
+    """
     plan = plan_search(fps, radius)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
         def emit(group: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
             a, b = link_sorted(group, fps, radius)
             return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
@@ -276,8 +299,14 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
         if len(rest_g):
             yield emit(rest_g, rest_f)
 
-    rows = probes(fps, plan).repartition("part", "key").sortWithinPartitions("part", "key")
-    return rows.mapInArrow(run, "a long, b long")
+    rows = probes(fps, plan)
+    # A crowded bucket holds more than `crowd` of all probes, so there are few of them beside the fingerprints.
+    crowded = materialize(rows.groupBy("part", "key").count().where(F.col("count") > crowd).select("part", "key"), "crowded-buckets")
+    if crowded.isEmpty():
+        return rows.repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(run, "a long, b long")
+    dense = materialize(rows.join(F.broadcast(crowded), ["part", "key"], "left_semi").select("fp").distinct(), "crowded-fingerprints")
+    rows = rows.join(F.broadcast(crowded), ["part", "key"], "left_anti")
+    return rows.repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(run, "a long, b long").union(spread_links(dense, radius))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
@@ -324,118 +353,253 @@ def size_bounds(similarity: float) -> list[int]:
     return out
 
 
-def search_keys(h: np.ndarray, similarity: float, bounds: list[int]) -> list[int]:
+def most_differences(sizes: int, similarity: float) -> int:
+    """How many hashes two sets of that similarity have on one side only, at most; sizes: of both together."""
+    return floor(sizes * (1 - similarity) / (1 + similarity) + 1e-9)
+
+
+def search_keys(h: np.ndarray, similarity: float, bounds: list[int], parts: int | None) -> list[int]:
     """Keys by which sets of at least that similarity meet.
 
-    Small sets: one key for each of the least hashes, as many as make one of them common to both. Others: the hashes
-    are dealt over more parts than two such sets can differ in, so that by the pigeonhole principle some part is the
-    same; the key is the SimHash of the part. For long texts `PARTS` of the parts do: of m parts and fewer than m
-    differences each is the same in both with a chance of 0.37 or more, so that all are missed once in 60,000 cases at
-    the limit and more rarely above it.
+    For its own range of sizes and the next, the hashes are dealt over one part more than two such sets can differ in.
+    By the pigeonhole principle some part is the same in both; its key is the SimHash of the part. The same part can
+    be an empty one, so sets with an empty part have a key for each of their least hashes as well, as many as make one
+    of them common to both. With `parts` at most so many parts are used: of m parts and fewer than m differences each
+    is the same with a chance of 0.37 or more, so that all of 24 differ once in 60,000 cases at the limit and more
+    rarely above it. None: all parts, nothing is missed.
     """
     n, keys = len(h), []
-    if 0 < n <= SMALL:
-        least = h[: n - ceil(similarity * n - 1e-9) + 1]
-        keys.append(mix64(least ^ np.uint64(0x5851F42D4C957F2D)))
-    if n >= LARGE:
-        at = bisect_right(bounds, n) - 1
-        for label in (at, at + 1):
-            m = floor(2 * (bounds[label + 1] - 1) * (1 - similarity) / (1 + similarity) + 1e-9) + 1
-            part = mix64(h + np.uint64(label + 1)) % np.uint64(m)
-            mine = np.flatnonzero(part < PARTS)
-            mine = mine[np.argsort(part[mine], kind="stable")]
-            if not len(mine):
-                continue
+    if not n:
+        return []
+    at = bisect_right(bounds, n) - 1
+    for label in (at, at + 1):
+        m = most_differences(2 * (bounds[label + 1] - 1), similarity) + 1
+        part = mix64(h + np.uint64(label + 1)) % np.uint64(m)
+        mine = np.flatnonzero(part < min(m, parts or m))
+        mine = mine[np.argsort(part[mine], kind="stable")]
+        if len(mine):
             head = np.flatnonzero(np.append(True, np.diff(part[mine]) != 0))
             size = np.diff(np.append(head, len(mine)))
             bits = np.unpackbits(h[mine].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones = np.add.reduceat(bits, head, axis=0, dtype=np.int64)
             fp = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-            keys.append(mix64(fp ^ mix64(part[mine][head] + np.uint64((label + 1) << 8))))
-    return np.unique(np.concatenate(keys)).view(np.int64).tolist() if keys else []
+            keys.append(mix64(fp ^ mix64(part[mine][head] + np.uint64((label + 1) << 32))))
+        if m <= (parts or m) and (not len(mine) or len(head) < m):
+            least = h[: n - ceil(similarity * n - 1e-9) + 1]
+            keys.append(mix64(least ^ mix64(np.uint64([label + 1]))))
+    return np.unique(np.concatenate(keys)).view(np.int64).tolist()
+
+
+def parity_bits(h: np.ndarray) -> np.ndarray:
+    """Words of a bit array of at least two bits a hash, a bit being set if an odd number of hashes fall on it.
+
+    Two of them differ in no more bits than their sets differ in hashes. Half as many bits: `fold`.
+    """
+    width = max(BITS, 1 << (2 * len(h) - 1).bit_length())
+    odd = np.bincount((h % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
 
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
 
-def shingle_signatures(docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(doc_id, th, cls, n, fp, keys): th tells texts under one id apart, cls and n name the shingle set and its size."""
+
+def shingle_signatures(docs: DataFrame, similarity: float, width: int, parts: int | None) -> DataFrame:
+    """(doc_id, th, c1, c2, n, fp, keys): th tells texts under one id apart; c1 and c2, 128 bits, name the shingle set."""
     bounds = size_bounds(similarity)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            cls, size, fps, keys = [], [], [], []
+        for batch in batches(source, "text"):
+            names, size, fps, keys = [], [], [], []
             for t in batch.column(2).cast(pa.large_binary()).to_pylist():
                 h = shingle_set(t, width)
-                cls.append(mix64(np.array([len(h), *h[:1], *h[-1:], np.bitwise_xor.reduce(mix64(h))], np.uint64)).sum(dtype=np.uint64))
+                names.append([mix64(h ^ np.uint64(s)).sum(dtype=np.uint64) + np.uint64(len(h)) for s in (0x5851F42D4C957F2D, 0x14057B7EF767814F)])
                 size.append(len(h))
                 fps.append(fingerprint(t))
-                keys.append(search_keys(h, similarity, bounds))
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (cls, fps)]
-            yield pa.record_batch([batch.column(0), batch.column(1), longs[0], pa.array(size, pa.int64()), longs[1], pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "th", "cls", "n", "fp", "keys"])
+                keys.append(search_keys(h, similarity, bounds, parts))
+            c = np.array(names, np.uint64).reshape(-1, 2).view(np.int64)
+            fp = pa.array(np.array(fps, np.uint64).view(np.int64))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(size, pa.int64()), fp, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "th", "c1", "c2", "n", "fp", "keys"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, cls long, n long, fp long, keys array<long>")
-
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, c1 long, c2 long, n long, fp long, keys array<long>")
 
-def candidates(classes: DataFrame, similarity: float, together: int = 8, room: int = 4096) -> DataFrame:
-    """Pairs (a, b), a < b, of classes that may be similar, each once.
-
-    Each class of a bucket is paired with the least one of the bucket and with the one before it, in buckets of up to
-    `together` classes with every other one: pairs grow with the classes, not with the square of a bucket. Larger
-    buckets are groups of near copies, or texts that share a passage and whose other parts lead to other buckets.
-    """
-    rows = classes.select(F.explode("keys").alias("key"), "cls", "n")
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("cls", "n")).alias("head")).where("c > 1")
-    rows = rows.join(buckets, "key").withColumn("deal", F.pmod(F.xxhash64("cls"), F.ceil(F.col("c") / room)))
-    order = Window.partitionBy("key", "deal").orderBy("cls")
-    others = [F.when((F.col("c") <= together) | F.lit(d == 1), F.lag(F.struct("cls", "n"), d).over(order)) for d in range(1, together)]
-    found = rows.select("cls", "n", F.array(F.col("head"), *others).alias("os")).select("cls", "n", F.explode(F.array_distinct("os")).alias("o")).where("o.cls <> cls")
-    found = found.where(F.least("n", "o.n") >= F.greatest("n", "o.n") * F.lit(similarity) - 1e-9)
-    pairs = found.select(F.least("cls", "o.cls").alias("a"), F.greatest("cls", "o.cls").alias("b"))
 
+def fingerprint_pairs(classes: DataFrame, radius: int = 3) -> DataFrame:
+    """Pairs (a, b) of classes that the search over fingerprints gives: one for each class but a component's least."""
     prints = materialize(classes.where("n > 0").groupBy("fp").agg(F.min("cls").alias("first")), "class-fingerprints")
-    same = classes.join(prints, "fp").where("cls <> first").select(F.least("cls", "first").alias("a"), F.greatest("cls", "first").alias("b"))
+    same = classes.join(prints, "fp").where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b"))
     x, y = prints.toDF("a", "x"), prints.toDF("b", "y")
-    near = links(prints).join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return pairs.union(same).union(near).distinct()
+    near = links(prints, radius).join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.union(near)
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Those of the pairs whose shingle sets, made again from the whole texts, are similar."""
+def head_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b): each class with the least one that it shares a key with."""
+    heads = members.groupBy("key").agg(F.min("cls").alias("head"))
+    return members.join(heads, "key").groupBy("cls").agg(F.min("head").alias("a")).where("a <> cls").select("a", F.col("cls").alias("b"))
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            sets = [shingle_set(t, width).view(np.int64) for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["cls", "shingles"])
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = classes.join(named, "cls").select("cls", F.col("rep.doc_id").alias("__id"), F.col("rep.th").alias("__th"))
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int, broadcast_rows: int = 500_000) -> DataFrame:
+    """(cls, shingles, bits) of the classes named, made again from the whole text of each one's first document."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source, "text"):
+            sets = [shingle_set(t, width) for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            bits = [parity_bits(h).tobytes() for h in sets]
+            yield pa.record_batch([batch.column(0), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["cls", "shingles", "bits"])
+
+    wanted = wanted.select("cls", F.col("rep.doc_id").alias("__id"), F.col("rep.th").alias("__th"))
+    if wanted.count() <= broadcast_rows:
+        wanted = F.broadcast(wanted)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["__id"]) & (texts["th"] == wanted["__th"])).select("cls", "text")
-    sets = materialize(texts.mapInArrow(run, "cls long, shingles array<long>").dropDuplicates(["cls"]), "shingle-sets")
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    return texts.mapInArrow(run, "cls long, shingles array<long>, bits binary").dropDuplicates(["cls"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets are similar."""
+    whole = sets.select("cls", "shingles")
+    both = pairs.join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common * F.lit(1 + similarity) >= (F.size("sa") + F.size("sb")) * F.lit(similarity) - 1e-9).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+def compare_groups(home: tuple, visitors: tuple, similarity: float, best: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a home and a visiting class of different components that can be similar by sizes and parity bits.
+
+    For each visitor and each component at home the `best` nearest ones; then the visitors for whom others were left.
+    None: the nearest one of all for each visitor, and no visitors.
+    """
+    cls, comp, n, bits = home
+    vcls, vcomp, vn, vbits = visitors
+    words = min(min(map(len, bits)), min(map(len, vbits))) // 8
+    x, y = (np.stack([fold(np.frombuffer(b, np.uint64), words) for b in some]) for some in (bits, vbits))
+    step, left, right, far = max(1, (1 << 20) // (len(cls) * words)), [], [], []
+    for at in range(0, len(vcls), step):
+        d = np.bitwise_count(y[at : at + step, None] ^ x[None]).sum(axis=2, dtype=np.int64)
+        a, b = vn[at : at + step, None], n[None]
+        ok = (d * (1 + similarity) <= (a + b) * (1 - similarity) + 1e-6) & (np.minimum(a, b) >= np.maximum(a, b) * similarity - 1e-9) & (vcomp[at : at + step, None] != comp[None])
+        v, h = np.nonzero(ok)
+        left.append(v + at)
+        right.append(h)
+        far.append(d[v, h])
+    v, h, d = map(np.concatenate, (left, right, far))
+    group = comp[h] if best else np.zeros(len(h), np.int64)
+    order = np.lexsort((cls[h], d, group, v))
+    v, h, group = v[order], h[order], group[order]
+    new = np.append(True, (v[1:] != v[:-1]) | (group[1:] != group[:-1])) if len(v) else np.zeros(0, bool)
+    rank = np.arange(len(v)) - np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(v))))
+    keep = rank < (best or 1)
+    return cls[h[keep]], vcls[v[keep]], np.unique(vcls[v[~keep]]) if best else vcls[:0]
+
+
+def open_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, asked: DataFrame | None, similarity: float, best: int | None, room: int = 512) -> DataFrame:
+    """(a, b): pairs of classes that share a key, lie in different components and can be similar; and (a, null) for
+    each class of which pairs beyond the `best` of a component were left out (`compare_groups`).
+
+    Keys whose classes are all in one component are done. Of the others the classes outside a key's largest component
+    visit all classes of the key; `asked` (cls) names those that do, None: all. Both sides are dealt over blocks of
+    about `room` classes, so a key of any size is worked on in many tasks of bounded size.
+    """
+    named = members.join(roots.toDF("node", "root"), F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("root", "cls").alias("comp"))
+    if asked is None:
+        named = named.withColumn("asks", F.lit(True))
+    else:
+        named = named.join(asked.withColumn("asks", F.lit(True)), "cls", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    named = materialize(named, "members-of-components").repartition("key")
+    sizes = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("asks").cast("long")).alias("a"))
+    sizes = sizes.groupBy("key").agg(F.sum("c").alias("c"), F.sum("a").alias("a"), F.max(F.struct("c", "comp", "a")).alias("most"), F.count(F.lit(1)).alias("comps"))
+    sizes = sizes.where("comps > 1 AND a > most.a").select("key", F.col("most.comp").alias("main"), F.ceil(F.col("c") / room).cast("int").alias("i"), F.ceil((F.col("a") - F.col("most.a")) / room).cast("int").alias("j"))
+    rows = named.join(sizes, "key").join(sets.select("cls", F.size("shingles").alias("n"), "bits"), "cls")
+    deal = lambda k: F.pmod(F.xxhash64("cls", "key"), F.col(k)).cast("int")
+    all_of = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    kept = ["cls", "comp", "n", "bits"]
+    home = rows.select("key", deal("i").alias("i"), F.explode(all_of("j")).alias("j"), F.lit(True).alias("home"), *kept)
+    away = rows.where("asks AND comp <> main").select("key", F.explode(all_of("i")).alias("i"), deal("j").alias("j"), F.lit(False).alias("home"), *kept)
+
+    def groups(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches cut where a group ends, so that none is split; one holds what was read last and little more."""
+        rest: pa.Table | None = None
+        for batch in source:
+            now = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            name = np.stack([np.asarray(now.column(c)).astype(np.int64) for c in ("key", "i", "j")], axis=1)
+            cut = np.flatnonzero((name[1:] != name[:-1]).any(axis=1)) + 1
+            if len(cut):
+                yield now.slice(0, int(cut[-1]))
+            rest = now.slice(int(cut[-1])) if len(cut) else now
+        if rest is not None and rest.num_rows:
+            yield rest
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(source):
+            name = np.stack([np.asarray(table.column(c)).astype(np.int64) for c in ("key", "i", "j")], axis=1)
+            at_home = np.asarray(table.column("home")).astype(bool)
+            cls, comp, n = (np.asarray(table.column(c)).astype(np.int64) for c in ("cls", "comp", "n"))
+            bits = table.column("bits").to_pylist()
+            ends = np.append(np.flatnonzero((name[1:] != name[:-1]).any(axis=1)) + 1, len(name))
+            a, b, more = [cls[:0]], [cls[:0]], [cls[:0]]
+            start = 0
+            for end in ends.tolist():
+                h, v = (start + np.flatnonzero(at_home[start:end] == side) for side in (True, False))
+                start = end
+                if len(h) and len(v):
+                    x, y, left = compare_groups(*[(cls[s], comp[s], n[s], [bits[k] for k in s]) for s in (h, v)], similarity, best)
+                    a.append(x)
+                    b.append(y)
+                    more.append(left)
+            x, y = np.concatenate(a), np.concatenate(b)
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+            left = np.unique(np.concatenate(more))
+            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            yield pa.record_batch([pa.array(left), pa.nulls(len(left), pa.int64())], ["a", "b"])
+
+    dealt = home.unionByName(away).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, parts: int | None = PARTS) -> DataFrame:
     """(root, rep, classes): a row for each group of documents that similarity links, over any number of steps.
 
-    rep.doc_id and rep.th name its first document: the least doc_id, null after all others, then the least hash of the
-    text. Texts without words form a group of their own; repeated rows are in one group.
+    Documents with one shingle set are a class. The search over fingerprints and one head for each class give pairs
+    that unite part of what belongs together. Then classes that share a key and aren't in one group yet are compared,
+    all of them: first each is verified with the nearest one, then with the nearest of each group, then with ever more
+    of them until none is left that could be similar. Pairs are verified on whole sets. rep.doc_id and rep.th name a group's first document: the least doc_id, null after all
+    others, then the least hash of the text. Texts without words form a group of their own; repeated rows are in one
+    group. An empty table has no groups.
     """
-    signatures = shingle_signatures(docs, similarity, width)
+    signatures = shingle_signatures(docs, similarity, width, parts)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep")
-    classes = materialize(signatures.groupBy("cls").agg(first, F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "shingle-classes")
-    pairs = materialize(candidates(classes, similarity), "candidate-pairs")
-    roots = connected_components(verified(docs, classes, pairs, similarity, width))
+    classes = signatures.groupBy("c1", "c2").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    classes = materialize(classes.drop("c1", "c2").withColumn("cls", F.monotonically_increasing_id()), "shingle-classes")
+    keyed = classes.select(F.explode("keys").alias("key"), "cls").repartition("key")
+    members = materialize(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "key", "left_semi"), "members")
+    pairs = materialize(fingerprint_pairs(classes).union(head_pairs(members)).distinct(), "candidate-pairs")
+    named = members.select("cls").union(pairs.select(F.explode(F.array("a", "b")))).distinct()
+    sets = materialize(sets_of(docs, classes.join(named, "cls", "left_semi"), width), "shingle-sets")
+    edges = materialize(verified(pairs, sets, similarity), "similar-pairs")
+    roots, best, asked = connected_components(edges), None, None
+    while True:
+        found = materialize(open_pairs(members, roots, sets, asked, similarity, best), "open-pairs")
+        some = found.where("b IS NOT NULL")
+        linked = materialize(verified(some.join(pairs, ["a", "b"], "left_anti"), sets, similarity), "similar-pairs")
+        if not linked.isEmpty():
+            edges = edges.union(linked)
+            roots = connected_components(edges)
+        if best:
+            asked = found.where("b IS NULL").select(F.col("a").alias("cls"))
+            if asked.isEmpty():
+                break
+        pairs, best = pairs.union(some), best * 64 if best else 1
     joined = classes.join(roots, classes["cls"] == roots["node"], "left").withColumn("root", F.coalesce("root", "cls"))
     return joined.groupBy("root").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("classes"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, parts: int | None = PARTS) -> DataFrame:
     """Documents with one of each group left whose five-word shingles are similar by 0.8 or more: see `similar_groups`."""
-    keep = similar_groups(docs.select("doc_id", "text")).select(F.col("rep.doc_id").alias("__keep"), F.col("rep.th").alias("__kept_text"))
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("\0null"))
+    keep = similar_groups(docs.select("doc_id", "text"), parts=parts).select(name(F.col("rep.doc_id")).alias("__id"), F.col("rep.th").alias("__th"))
     keep = materialize(keep, "kept-ids")
-    marked = docs.withColumn("__text", F.xxhash64("text"))
-    same = marked["doc_id"].eqNullSafe(keep["__keep"]) & (marked["__text"] == keep["__kept_text"])
-    return marked.join(keep, same, "left_semi").dropDuplicates(["doc_id", "__text"]).drop("__text")
+    marked = docs.withColumn("__id", name(F.col("doc_id"))).withColumn("__th", F.xxhash64("text"))
+    return marked.join(keep, ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).drop("__id", "__th")
