@@ -123,6 +123,57 @@ def test_toxic_documents_are_held_out_and_found(spark):
     assert np.mean(right) > 0.98
 
 
+def test_without_labels_nothing_is_toxic(spark):
+    for rows in ((), ((1, None), (5, None)), ((1, 0), (5, 0)), ((77, 1),)):
+        got = toxicity.severity_report(frame(spark), labels(spark, rows)).collect()
+        assert len(got) == len(awkward()) and not any(r.toxic or r.severity for r in got)
+    assert toxicity.reject_toxic(frame(spark), labels(spark, ())).count() == len(awkward())
+
+
+def test_labels_above_one_are_grades(spark):
+    rng = random.Random(0)
+    rows = [(k, words(40, k) + " " + " ".join(rng.choices(["vile", "scum"], k=3 * (k % 4))), "s") for k in range(240)]
+    got = {r.doc_id: r.severity for r in toxicity.severity_report(frame(spark, rows), labels(spark, [(k, k % 4) for k in range(200)])).collect()}
+    mean = [np.mean([got[k] for k in range(200, 240) if k % 4 == g]) for g in range(4)]
+    assert mean == sorted(mean) and mean[0] < 0.5 < mean[2] - mean[0]
+
+
+def test_empty_benchmarks_find_nothing(spark):
+    for rows in ([], [(1, None), (None, words(20, 1))], [(2, "too short")]):
+        assert decontamination.contaminated(frame(spark), items(spark, rows)).count() == 0
+        assert decontamination.remove_contaminated(frame(spark), items(spark, rows)).count() == len(awkward())
+
+
+def test_edited_items_are_found(spark):
+    """Windows whose shingles are similar by 0.8 or more, with words changed at an end or in the middle."""
+    rng, bench = random.Random(3), [(k, words(random.Random(k).randint(13, 60), 7000 + k)) for k in range(60)]
+    rows = []
+    for k, t in bench:
+        for way in range(4):
+            w = t.split()
+            many = max(1, len(w) // 18)
+            if way == 0:
+                w[-many:] = words(many, 100 * k + 1).split()
+            elif way == 1:
+                w[:many] = words(many, 100 * k + 2).split()
+            elif way == 2:
+                w[rng.randrange(len(w))] = words(1, 100 * k + 3)
+            rows.append((10 * k + way, f"{words(30, 9 * k)} {' '.join(w)} {words(30, 9 * k + 1)}", "s"))
+
+    def similar(i, k):
+        sh = lambda w: {tuple(w[j : j + 5]): sum(map(len, w[j : j + 5])) for j in range(len(w) - 4)}
+        x, w, best = bench[k][1].split(), rows[i][1].split(), 0.0
+        b = sh(x)
+        for at in range(len(w) - len(x) + 1):
+            a = sh(w[at : at + len(x)])
+            best = max(best, sum(a[g] for g in a if g in b) / sum((a | b).values()))
+        return best >= 0.8
+
+    want = {(rows[i][0], k) for k in range(60) for i in range(4 * k, 4 * k + 4) if similar(i, k)}
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(frame(spark, rows), items(spark, bench)).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 120
+
+
 def test_line_templates_generalise_fields(spark):
     prose = [words(12, 100 + i) for i in range(30)]
     rows = [(i, f"{prose[i]}\nPosted by user{i} on 2024-01-{i % 28 + 1} at {i}:00 from the site\nWe thank {words(1, i)} for the kind and helpful comment today", "s") for i in range(30)]
@@ -159,7 +210,7 @@ def test_line_templates_against_brute_force(spark):
         template[a] = next((b for b in leads if agree(a, b)), a)
         leads += [a] if template[a] == a else []
     assert 8 < len(leads) < len(tokens) / 2
-    got = {r.line: r.template for r in linedrop.templates(linedrop.lines_of(frame(spark, rows))).collect()}
+    got = {r.line: r.template for r in linedrop.templates(linedrop.distinct_lines(linedrop.lines_of(frame(spark, rows)))).collect()}
     assert got == {a: b for a, b in template.items() if a != b}
 
 
@@ -240,6 +291,78 @@ def test_html_layout():
     assert htmltext.html_to_text("<td>a</li></p>b") == "a b" or "b" in htmltext.html_to_text("<td>a</li></p>b")
 
 
+def test_html_shows_what_browsers_show():
+    show = htmltext.html_to_text
+    assert show("<p>pick <select><option>one<option selected>two</select> <textarea>shown</textarea> on") == "pick two shown on"
+    assert show("<select multiple><option>one<option>two</select>") == "one\ntwo"
+    assert show("<svg><title>no</title><text>drawn</text></svg>") == "drawn"
+    stray = "<table><thead><th>A<th>B</thead>loose<tr><form><td>1<td>2</form><b>bold</b><tbody><td>x</td><td>y</table>after"
+    assert sorted(show(stray).split()) == sorted("A B loose 1 2bold x y after".split())
+    assert show("<table><tr><td rowspan=2>long cell<td>b<tr><td>c<tr><td colspan=2>wide<td>z</table>") == "long cell  b\n           c\nwide          z"
+
+
+def test_html_of_large_tables_stays_small():
+    long = "<table><tr><td>" + "word " * 2000 + "<td>x</tr>" + "".join(f"<tr><td>r{i}<td>v{i}</tr>" for i in range(500)) + "</table>"
+    text = htmltext.html_to_text(long)
+    assert len(text) < 2 * len(long) and "r499  v499" in text
+    wide = "<table><tr>" + "<td>c" * 3000 + "</tr>" + ("<tr>" + "<td colspan=1000>" * 3 + "<td>x</tr>") * 500 + "</table>"
+    text = htmltext.html_to_text(wide)
+    assert len(text) < 2 * len(wide) and text.count("x") == 500 and text.count("c") == 3000
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_html_keeps_every_visible_word_once(seed):
+    rng = random.Random(seed)
+    tags = "p div ul ol li table tr td th thead tbody b i blockquote dl dt dd h1 form caption".split()
+    out, n = [], 0
+    for _ in range(200):
+        kind = rng.random()
+        if kind < 0.45:
+            out.append(f"<{rng.choice(tags)}>")
+        elif kind < 0.7:
+            out.append(f"</{rng.choice(tags)}>")
+        else:
+            out.append(f" w{n}x ")
+            n += 1
+    got = re.findall(r"w\d+x", htmltext.html_to_text("".join(out)))
+    assert sorted(got) == sorted(f"w{k}x" for k in range(n))
+
+
+def test_repeated_rows_are_mixed_as_planned(spark):
+    rows = [(k // 2 if k < 300 else None, words(10, k // 2), "ab"[k % 4 // 2]) for k in range(400)] + [(k, words(40, k), "c") for k in range(1000, 1030)]
+    docs = frame(spark, rows)
+    plan = collections.Counter()
+    for r in mixing.mix_plan(docs).collect():
+        plan[r.doc_id, r.source] += r.taken
+    got = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        got[r.doc_id, r.source] += len(r.text.split())
+    assert got == +plan and any(plan[k] % 20 for k in plan)
+
+
+def test_rows_with_one_id_are_judged_apart(spark):
+    good = words(60, 1)
+    rows = [(1, good, "h"), (1, "too short", "h"), (None, good, "h"), (None, None, "h"), (1, good, "h")]
+    kept = quality.keep_good(frame(spark, rows)).collect()
+    assert sorted((r.doc_id is None, r.text == good) for r in kept) == [(False, True), (False, True), (True, True)]
+
+
+def test_slots_do_not_change_between_runs(spark):
+    rows = [(k % 7 if k % 3 else None, words(5, k), "s") for k in range(300)]
+
+    def slots(rows, parts):
+        d = frame(spark, rows).repartition(parts)
+        d = sharding.number_slots(sharding.assign_shards(d, "doc_id", [(i, 1.0) for i in range(4)]), "doc_id", ("text", "source"))
+        return sorted((r.shard, r.slot, r.text) for r in d.collect())
+
+    once = slots(rows, 2)
+    assert once == slots(rows[::-1], 5)
+    per = collections.defaultdict(list)
+    for shard, slot, _ in once:
+        per[shard].append(slot)
+    assert all(v == list(range(len(v))) for v in per.values())
+
+
 def test_html_table(spark):
     p = spark.createDataFrame([(1, None), (2, ""), (None, "<p>x"), (2, "<p>y")], "page_id long, html string").withColumn("text", F.lit(1))
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in htmltext.extract_report(p).collect()) == [(0, "x", 1), (1, "", 0), (2, "", 0), (2, "y", 1)]
@@ -387,6 +510,21 @@ def test_dense_groups_link_like_brute_force():
     assert dict(zip(a, b, strict=True)) == dict(zip(c, d, strict=True))
 
 
+def test_crowded_buckets_link_like_others(spark):
+    rng = np.random.default_rng(4)
+    x = np.unique(np.bitwise_xor.accumulate(np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)))
+    x = np.unique(np.append(x, rng.integers(0, 1 << 63, 100, dtype=np.uint64))).view(np.int64)
+    fps = spark.createDataFrame([(int(v),) for v in x], "fp long")
+    parts = []
+    for crowd in (1 << 30, 8):
+        root = {int(v): int(v) for v in x}
+        for r in simhash.links(fps, 3, crowd).collect():
+            a, b = root[r.a], root[r.b]
+            root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+        parts.append(root)
+    assert parts[0] == parts[1] and 100 < len(set(parts[0].values())) < len(x)
+
+
 def test_thresholds_by_dynamic_programming():
     for n in (10**4, 10**7, 10**10):
         cost, ts = min(simhash.allocate([n * n / 2.0 ** (64 // m)] * m, [64 // m] * m, n, 3) for m in (2, 3, 4))
