@@ -293,3 +293,42 @@ def _pieces(s: SparkSession, d: str) -> DataFrame:
 register("triangles_left", lambda s, d: mesh.quad_mesh(_pieces(s, d), "group_id").groupBy("polygon_id", "part").count().agg(F.sum((F.col("count") != 4).cast("int")).alias("n")), "SELECT 0::BIGINT AS n")
 register("mesh_partition", lambda s, d: polygon.mesh_partition(fixtures.polygons(s, d).withColumn("group_id", F.col("polygon_id")), "group_id", 2.0))
 register("mesh_rim", lambda s, d: pipeline.void_edges(fixtures.quads(s, d).where("polygon_id % 7 <> 0")), f"WITH {QUADS.replace('polygons AS', 'every AS')}, polygons AS (SELECT * FROM every WHERE polygon_id % 7 <> 0){MESH} SELECT * FROM edges WHERE degree = 1")
+
+# --- what kernels leave true -------------------------------------------------------------------------------------------
+
+
+def _path_lengths(s: SparkSession, d: str) -> DataFrame:
+    """Points on a shortest path from the first to the last pixel of the outer disc."""
+    ends = ring(s, d).groupBy("image_id").agg(F.min(F.struct("y", "x")).alias("a"), F.max(F.struct("y", "x")).alias("b"))
+    both = ring(s, d).join(ends.select("image_id", F.col("a.y").alias("ay"), F.col("a.x").alias("ax"), F.col("b.y").alias("by"), F.col("b.x").alias("bx")), "image_id")
+    return graphs.shortest_paths(both, IMAGE).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+register("shortest_path_length", _path_lengths, DIST + " SELECT image_id, CAST(arg_max(distance, [y, x]) + 1 AS BIGINT) AS n FROM far GROUP BY 1")
+register("region_pairs", lambda s, d: regions.region_graph(labelled(s, d)).where("a < b"), RGRAPH + " SELECT * FROM rg WHERE a < b")
+register("long_lines", lambda s, d: borders.longer(fixtures.polylines(s, d), 300.0), f"WITH {POLYLINES}, n AS (SELECT line_id, pos, y, x, sqrt(pow(y - lag(y) OVER w, 2) + pow(x - lag(x) OVER w, 2)) AS d FROM lines WINDOW w AS (PARTITION BY line_id ORDER BY pos)) SELECT lines.* FROM lines JOIN (SELECT line_id FROM n GROUP BY 1 HAVING round(coalesce(sum(d), 0), 6) > 300) USING (line_id)")
+
+
+def _centred(s: SparkSession, d: str) -> DataFrame:
+    p = fixtures.polygons(s, d)
+    return p.withColumn("y", F.col("y") - 32).withColumn("x", F.col("x") - 32)
+
+
+register("rasterize_signed", lambda s, d: polygon.outlines(_centred(s, d)), f"WITH {POLYGONS.replace('32 +', '0 +')}{AROUND}{LINES} SELECT DISTINCT polygon_id, {RASTER.format(a='y')}, {RASTER.format(a='x')} FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM e)")
+
+
+def _areas(into: str):
+    def query(s: SparkSession, d: str) -> DataFrame:
+        parts = polygon.partition(fixtures.polygons(s, d), into).withColumn("of", F.col("polygon_id"))
+        m = polygon.measures(parts.select(F.concat_ws("/", "of", "part").alias("polygon_id"), "pos", "y", "x"))
+        m = m.withColumn("of", F.substring_index("polygon_id", "/", 1).cast("long"))
+        return m.groupBy("of").agg(F.sum(F.abs("area2")).alias("area2"), F.sum((~F.col("convex")).cast("int")).alias("bent"), F.max("n").alias("corners") if into == "quads" else F.lit(0).alias("corners"))
+
+    return query
+
+
+AREA = f"WITH {POLYGONS}{AROUND} SELECT polygon_id AS of, abs(sum(x * ny - nx * y)) AS area2, 0 AS bent, {{}} AS corners FROM an GROUP BY 1"
+register("convex_parts_area", _areas("convex"), AREA.format(0))
+register("quad_parts_area", _areas("quads"), AREA.format(4))
+register("tiny_regions_left", lambda s, d: regions.stats(regions.merge_tiny(labelled(s, d))).groupBy("image_id").agg(F.sum((F.col("n") <= 10).cast("int")).alias("n")), f"WITH {GRID} SELECT image_id, 0 AS n FROM grid GROUP BY 1")
+register("mesh_pipeline_faults", lambda s, d: pipeline.mesh_quads(fixtures.pixels(s, d)).groupBy("polygon_id", "ti", "bi").agg(F.count(F.lit(1)).alias("k"), F.countDistinct("pos").alias("p")).agg(F.sum(((F.col("k") != 4) | (F.col("p") != 4)).cast("int")).alias("n")), "SELECT 0 AS n")

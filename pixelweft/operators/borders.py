@@ -170,6 +170,13 @@ def cinched(lines: DataFrame, linked: DataFrame) -> DataFrame:
     return rows.join(to, "link", "left").select("line_id", "pos", F.coalesce("cy", "y").cast("double").alias("y"), F.coalesce("cx", "x").cast("double").alias("x"))
 
 
+def longer(lines: DataFrame, least: float) -> DataFrame:
+    """Lines (line_id, pos, y, x) that are longer than `least`."""
+    from .polyline import lengths
+
+    return lines.join(lengths(lines).where(F.round("length", 6) > least).select("line_id"), "line_id", "left_semi")
+
+
 def end_distances(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, a, end_a, b, end_b, d2): squared distances between the ends of the lines of a group, a < b.
 

@@ -102,6 +102,18 @@ def shortest_path(points: list[Point], a: Point, b: Point) -> list[Point]:
     return [points[k] for k in path]
 
 
+def shortest_paths(points: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pos, y, x): `shortest_path` over the points (keys, y, x, ay, ax, by, bx) of each group."""
+    kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in keys)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[0]
+        path = shortest_path(list(zip(rows.y.tolist(), rows.x.tolist(), strict=True)), (int(first.ay), int(first.ax)), (int(first.by), int(first.bx)))
+        return pd.DataFrame([(*[first[c] for c in keys], i, y, x) for i, (y, x) in enumerate(path)], columns=[*keys, "pos", "y", "x"])
+
+    return points.groupBy(*keys).applyInPandas(run, f"{kinds}, pos int, y int, x int")
+
+
 def farthest_order(points: list[Point]) -> tuple[list[Point], bool]:
     """The points of one connected border from end to end, and whether it is a loop.
 
