@@ -124,5 +124,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options: float)
     Cases are those of `contaminated`: null texts hold nothing and stay, all rows of a doc_id go or stay together, a
     null doc_id is an id, and with an empty benchmark all documents stay.
     """
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__bad")).distinct()
+    bad = materialize(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated-ids")
+    # Few documents are contaminated as a rule: their ids are broadcast after counting, and texts stay where they are.
+    bad = F.broadcast(bad) if bad.count() <= 1_000_000 else bad
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
