@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweft.schema import CROSS, RING, VOID, around
+from pixelweft.schema import CROSS, RING, VOID, around, dealt
 
 
 def neighbor_values(grid: DataFrame, steps: tuple = RING, value: str = "value", points: DataFrame | None = None) -> DataFrame:
@@ -66,7 +66,7 @@ def drawn_border(region_pixels: DataFrame) -> DataFrame:
     """
     own = region_pixels.select("image_id", "y", "x", "region_id", "value")
     other = own.select("image_id", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("region_id").alias("other_id"), F.col("value").alias("nvalue"))
-    n = around(own, CROSS).join(other, ["image_id", "ny", "nx"]).where("region_id <> other_id")
+    n = around(own, CROSS).join(dealt(other), ["image_id", "ny", "nx"]).where("region_id <> other_id")
     solid, osolid = F.col("value") != VOID, F.col("nvalue") != VOID
     owns = F.when(solid & osolid, F.col("region_id") > F.col("other_id")).otherwise(solid & ~osolid)
     return n.where(owns).select("image_id", "region_id", "other_id", "y", "x").distinct()
@@ -92,14 +92,14 @@ def outward_border(region_pixels: DataFrame) -> DataFrame:
     """(image_id, region_id, y, x, n): pixels of other regions next to each region, as often as they touch it."""
     own = region_pixels.select("image_id", "y", "x", "region_id")
     other = own.select("image_id", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("region_id").alias("m"))
-    n = around(own, CROSS).join(other, ["image_id", "ny", "nx"]).where("region_id <> m")
+    n = around(own, CROSS).join(dealt(other), ["image_id", "ny", "nx"]).where("region_id <> m")
     return n.groupBy("image_id", "region_id", F.col("ny").alias("y"), F.col("nx").alias("x")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def adjacency(points: DataFrame, keys: list[str]) -> DataFrame:
     """Edges (keys, y, x, ny, nx) between listed pixels that touch, per key."""
     other = points.select(*keys, F.col("y").alias("ny"), F.col("x").alias("nx")).distinct()
-    return around(points.select(*keys, "y", "x").distinct(), RING).join(other, [*keys, "ny", "nx"], "left_semi").select(*keys, "y", "x", "ny", "nx")
+    return around(points.select(*keys, "y", "x").distinct(), RING).join(dealt(other), [*keys, "ny", "nx"], "left_semi").select(*keys, "y", "x", "ny", "nx")
 
 
 def tiled_adjacency(points: DataFrame, keys: list[str], size: int = 16) -> DataFrame:
@@ -119,9 +119,9 @@ def border_adjacency(border: DataFrame, region_pixels: DataFrame) -> DataFrame:
     edges = adjacency(border, keys)
     beside = around(border.select(*keys, "y", "x").distinct(), RING)
     there = region_pixels.select("image_id", F.col("region_id").alias("other_id"), F.col("y").alias("ny"), F.col("x").alias("nx"))
-    beside = beside.join(there, ["image_id", "other_id", "ny", "nx"], "left_semi").select(*keys, "y", "x", F.col("ny").alias("cy"), F.col("nx").alias("cx"))
+    beside = beside.join(dealt(there), ["image_id", "other_id", "ny", "nx"], "left_semi").select(*keys, "y", "x", F.col("ny").alias("cy"), F.col("nx").alias("cx"))
     far = beside.select(*keys, F.col("y").alias("ny"), F.col("x").alias("nx"), "cy", "cx")
-    common = edges.join(beside, [*keys, "y", "x"]).join(far, [*keys, "ny", "nx", "cy", "cx"], "left_semi")
+    common = edges.join(dealt(beside), [*keys, "y", "x"]).join(dealt(far), [*keys, "ny", "nx", "cy", "cx"], "left_semi")
     return common.select(*keys, "y", "x", "ny", "nx").distinct()
 
 

@@ -24,3 +24,12 @@ def around(points: DataFrame, steps: tuple[tuple[int, int], ...]) -> DataFrame:
     """A row for each point and neighbour: adds i, ny, nx."""
     out = points.withColumn("__o", F.explode(offsets(steps)))
     return out.select("*", F.col("__o.i").alias("i"), (F.col("y") + F.col("__o.dy")).alias("ny"), (F.col("x") + F.col("__o.dx")).alias("nx")).drop("__o")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: joined by shuffle whatever Spark takes its size for.
+
+    Spark goes by the bytes of Parquet files and leaves out what `explode` and joins add, so it would have the driver
+    gather and broadcast tables of pixels, edges or corners that take a hundred times the bytes it allows.
+    """
+    return rows.hint("merge")
