@@ -11,6 +11,7 @@ from pixelweft.catalog import AROUND, CUTS, DRAWN, GRID, LINES, MESH, OFF4, OFF8
 from pixelweft.operators import borders, graphs, holes, mesh, patterns, points, polygon, regions, stencil, thinning
 from pixelweft.plans import pipeline
 from pixelweft.plans.fixpoint import settle
+from pixelweft.schema import dealt
 from pixelweft.sources import fixtures
 
 IMAGE = ["image_id"]
@@ -176,8 +177,8 @@ register("hole_cut_values", lambda s, d: cut(s, d).groupBy("image_id", "value").
 def _holes_left(s: SparkSession, d: str) -> DataFrame:
     done = settle(cut(s, d), "cut-regions")
     solid = done.where("value <> -1").select("image_id", "region_id").distinct()
-    inner = regions.complement_parts(done).where("NOT exterior").join(solid, ["image_id", "region_id"]).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
-    return done.select("image_id").distinct().join(inner, "image_id", "left").select("image_id", F.coalesce("n", F.lit(0)).cast("int").alias("n"))
+    inner = regions.complement_parts(done).where("NOT exterior").join(dealt(solid), ["image_id", "region_id"]).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
+    return done.select("image_id").distinct().join(dealt(inner), "image_id", "left").select("image_id", F.coalesce("n", F.lit(0)).cast("int").alias("n"))
 
 
 register("holes_left", _holes_left, f"WITH {GRID} SELECT DISTINCT image_id, 0 AS n FROM grid")

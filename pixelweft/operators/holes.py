@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelweft.schema import CROSS, REGION_PIXELS, RING, VOID
+from pixelweft.schema import CROSS, REGION_PIXELS, RING, VOID, dealt
 
 from .points import weight_shape
 from .regions import holed
@@ -195,7 +195,7 @@ def cut_holes(region_pixels: DataFrame, penalty: float = 100.0) -> DataFrame:
     """
     size = region_pixels.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
     some = holed(region_pixels).select("image_id", "region_id")
-    own = region_pixels.where(F.col("value") != VOID).join(some, ["image_id", "region_id"], "left_semi").join(size, "image_id")
+    own = region_pixels.where(F.col("value") != VOID).join(dealt(some), ["image_id", "region_id"], "left_semi").join(dealt(size), "image_id")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows["part"] = all_parts(rows[["y", "x"]].to_numpy(np.int64), int(rows.height.iloc[0]), int(rows.width.iloc[0]), penalty).astype(np.int32)
@@ -203,6 +203,6 @@ def cut_holes(region_pixels: DataFrame, penalty: float = 100.0) -> DataFrame:
 
     parted = own.groupBy("image_id", "region_id").applyInPandas(run, REGION_PIXELS + ", part int")
     done = parted.select("image_id", "y", "x", F.col("part").alias("__part"))
-    both = region_pixels.join(done, ["image_id", "y", "x"], "left").withColumn("__part", F.coalesce("__part", F.lit(0)))
+    both = region_pixels.join(dealt(done), ["image_id", "y", "x"], "left").withColumn("__part", F.coalesce("__part", F.lit(0)))
     ids = both.select("image_id", "region_id", "__part").distinct().withColumn("__id", (F.row_number().over(Window.partitionBy("image_id").orderBy("region_id", "__part")) - 1).cast("int"))
-    return both.join(ids, ["image_id", "region_id", "__part"]).select("image_id", "y", "x", F.col("__id").alias("region_id"), "value")
+    return both.join(dealt(ids), ["image_id", "region_id", "__part"]).select("image_id", "y", "x", F.col("__id").alias("region_id"), "value")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelweft.plans.fixpoint import connected_components, settle
-from pixelweft.schema import REGION_PIXELS, RING, VOID
+from pixelweft.schema import REGION_PIXELS, RING, VOID, dealt
 
 _SHIFT = 20
 
@@ -173,7 +173,7 @@ def region_graph(region_pixels: DataFrame) -> DataFrame:
 
     other = region_pixels.select("image_id", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("region_id").alias("b"))
     near = around(region_pixels.select("image_id", "y", "x", F.col("region_id").alias("a")), RING)
-    return near.join(other, ["image_id", "ny", "nx"]).where("a <> b").select("image_id", "a", "b").distinct()
+    return near.join(dealt(other), ["image_id", "ny", "nx"]).where("a <> b").select("image_id", "a", "b").distinct()
 
 
 def complement_parts(region_pixels: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def complement_parts(region_pixels: DataFrame) -> DataFrame:
     a task holds the regions of an image and what touches what.
     """
     ends = region_pixels.groupBy("image_id").agg(F.max("y").alias("h"), F.max("x").alias("w"))
-    nodes = region_pixels.join(ends, "image_id").groupBy("image_id", "region_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("y").isin(0) | F.col("x").isin(0) | (F.col("y") == F.col("h")) | (F.col("x") == F.col("w"))).alias("exterior"))
+    nodes = region_pixels.join(dealt(ends), "image_id").groupBy("image_id", "region_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("y").isin(0) | F.col("x").isin(0) | (F.col("y") == F.col("h")) | (F.col("x") == F.col("w"))).alias("exterior"))
 
     def run(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list[int]] = {r: [] for r in nodes.region_id}

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweft.operators import borders, regions, stencil
+from pixelweft.operators import borders, holes, regions, stencil
 from pixelweft.plans.fixpoint import settle
 
 from .test_kernels import grid
@@ -22,8 +22,12 @@ def raster(spark):
 
 RASTERS = {
     "drawn_border": lambda rp, b, s, w: stencil.drawn_border(rp),
+    "outward_border": lambda rp, b, s, w: stencil.outward_border(rp),
     "adjacency": lambda rp, b, s, w: stencil.adjacency(b, borders.PAIR),
     "border_adjacency": lambda rp, b, s, w: stencil.border_adjacency(b, rp),
+    "holed": lambda rp, b, s, w: regions.holed(rp),
+    "cut_holes": lambda rp, b, s, w: holes.cut_holes(rp),
+    "complement_parts": lambda rp, b, s, w: regions.complement_parts(rp),
 }
 
 
