@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelweft.schema import RING
+from pixelweft.schema import RING, dealt
 
 PAIR = ["image_id", "region_id", "other_id"]
 
@@ -77,7 +77,7 @@ def walks(segment_pixels: DataFrame, region_pixels: DataFrame) -> DataFrame:
     near = near.select(*key, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).distinct()
     # The pixels of an owned border lie in the other region, which is the walk's inside.
     own = region_pixels.select("image_id", F.col("region_id").alias("other_id"), "y", "x")
-    inner = near.join(own, ["image_id", "other_id", "y", "x"], "left_semi").select(*key, "y", "x")
+    inner = near.join(dealt(own), ["image_id", "other_id", "y", "x"], "left_semi").select(*key, "y", "x")
 
     def run(k: tuple, points: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
         path = walk(list(zip(points.y.tolist(), points.x.tolist(), strict=True)), set(zip(around.y.tolist(), around.x.tolist(), strict=True)))
@@ -90,9 +90,9 @@ def walks(segment_pixels: DataFrame, region_pixels: DataFrame) -> DataFrame:
 def traversal_failures(segment_pixels: DataFrame, walked: DataFrame, tolerance: int = 5) -> DataFrame:
     """Pixels that no walk reached, of segments with more than `tolerance` of them."""
     key = [*PAIR, "segment"]
-    left = segment_pixels.join(walked, [*key, "y", "x"], "left_anti")
+    left = segment_pixels.join(dealt(walked), [*key, "y", "x"], "left_anti")
     many = left.groupBy(*key).count().where(F.col("count") > tolerance)
-    return left.join(many, key).drop("count")
+    return left.join(dealt(many), key).drop("count")
 
 
 def loops(walked: DataFrame) -> DataFrame:
@@ -203,4 +203,4 @@ def check_traversal(segment_pixels: DataFrame, walked: DataFrame, tolerance: int
 def failed_images(segment_pixels: DataFrame, walked: DataFrame, tolerance: int = 5) -> DataFrame:
     """(image_id, failed): whether any segment of an image has failed."""
     bad = traversal_failures(segment_pixels, walked, tolerance).select("image_id").distinct().withColumn("bad", F.lit(True))
-    return segment_pixels.select("image_id").distinct().join(bad, "image_id", "left").select("image_id", F.coalesce("bad", F.lit(False)).alias("failed"))
+    return segment_pixels.select("image_id").distinct().join(dealt(bad), "image_id", "left").select("image_id", F.coalesce("bad", F.lit(False)).alias("failed"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelweft.plans.fixpoint import settle
-from pixelweft.schema import RING, around
+from pixelweft.schema import RING, around, dealt
 
 Point = tuple[int, int]
 
@@ -56,7 +56,7 @@ def exterior_links(points: DataFrame, region_pixels: DataFrame) -> DataFrame:
     ring = around(points.select(*keys, "y", "x").distinct(), RING)
     listed = points.select(*keys, F.col("y").alias("ny"), F.col("x").alias("nx")).distinct().withColumn("__on", F.lit(1))
     own = region_pixels.select(*keys, F.col("y").alias("ny"), F.col("x").alias("nx")).withColumn("__in", F.lit(1))
-    cells = ring.join(listed, [*keys, "ny", "nx"], "left").join(own, [*keys, "ny", "nx"], "left")
+    cells = ring.join(dealt(listed), [*keys, "ny", "nx"], "left").join(dealt(own), [*keys, "ny", "nx"], "left")
     kind = F.when(F.col("__on").isNotNull(), 2).when(F.col("__in").isNotNull(), 1).otherwise(0)
     rings = cells.groupBy(*keys, "y", "x").agg(F.array_sort(F.collect_list(F.struct("i", kind.alias("k")))).alias("r"))
     # From each listed cell to the next cell that isn't exterior, which has to be a listed one behind a gap.

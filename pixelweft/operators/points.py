@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelweft.schema import CROSS, RING, VOID, around
+from pixelweft.schema import CROSS, RING, VOID, around, dealt
 
 # --- grids and pictures ------------------------------------------------------------------------------------------------
 
@@ -28,7 +28,7 @@ def scatter(sizes: DataFrame, points: DataFrame, value: str, default: int = VOID
 def picture(sizes: DataFrame, points: DataFrame, color: tuple[int, int, int] = (255, 255, 255)) -> DataFrame:
     """(image_id, y, x, r, g, b, a): listed points in a colour, the others black; `to_png` makes files of it."""
     marks = points.select("image_id", "y", "x").distinct().withColumn("__on", F.lit(True))
-    rows = full_grid(sizes).join(marks, ["image_id", "y", "x"], "left")
+    rows = full_grid(sizes).join(dealt(marks), ["image_id", "y", "x"], "left")
     paint = [F.when(F.col("__on"), F.lit(v)).otherwise(F.lit(0)).alias(c) for c, v in zip("rgb", color, strict=True)]
     return rows.select("image_id", "y", "x", *paint, F.lit(255).alias("a"))
 
@@ -44,7 +44,7 @@ def sizes_of(pixels: DataFrame) -> DataFrame:
 def border_pixels(region_pixels: DataFrame) -> DataFrame:
     """(image_id, region_id, y, x): pixels that differ from one of four neighbours; beyond the image lies region -1."""
     other = region_pixels.select("image_id", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("region_id").alias("__other"))
-    n = around(region_pixels.select("image_id", "y", "x", "region_id"), CROSS).join(other, ["image_id", "ny", "nx"], "left")
+    n = around(region_pixels.select("image_id", "y", "x", "region_id"), CROSS).join(dealt(other), ["image_id", "ny", "nx"], "left")
     return n.where(F.coalesce("__other", F.lit(VOID)) != F.col("region_id")).select("image_id", "region_id", "y", "x").distinct()
 
 

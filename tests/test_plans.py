@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweft.operators import borders, holes, regions, stencil
+from pixelweft.operators import borders, graphs, holes, points, regions, stencil
 from pixelweft.plans.fixpoint import settle
 
 from .test_kernels import grid
@@ -25,6 +25,11 @@ RASTERS = {
     "outward_border": lambda rp, b, s, w: stencil.outward_border(rp),
     "adjacency": lambda rp, b, s, w: stencil.adjacency(b, borders.PAIR),
     "border_adjacency": lambda rp, b, s, w: stencil.border_adjacency(b, rp),
+    "walks": lambda rp, b, s, w: borders.walks(s, rp),
+    "traversal_failures": lambda rp, b, s, w: borders.traversal_failures(s, w.where("pos < 1"), 0),
+    "failed_images": lambda rp, b, s, w: borders.failed_images(s, w.where("pos < 1"), 0),
+    "picture": lambda rp, b, s, w: points.picture(points.sizes_of(rp), b),
+    "exterior_links": lambda rp, b, s, w: graphs.exterior_links(points.border_pixels(rp), rp),
     "holed": lambda rp, b, s, w: regions.holed(rp),
     "cut_holes": lambda rp, b, s, w: holes.cut_holes(rp),
     "complement_parts": lambda rp, b, s, w: regions.complement_parts(rp),
