@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelweft.schema import dealt
+
 from .polyline import rasterize
 
 
@@ -78,7 +80,7 @@ def candidate_cuts(polygons: DataFrame) -> DataFrame:
     n = polygons.groupBy("polygon_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     a = polygons.select("polygon_id", F.col("pos").alias("a"), F.col("y").alias("y0"), F.col("x").alias("x0"))
     b = polygons.select("polygon_id", F.col("pos").alias("b"), F.col("y").alias("y1"), F.col("x").alias("x1"))
-    return a.join(b, "polygon_id").join(n, "polygon_id").where("b - a > 1 AND b - a < n - 1").drop("n")
+    return a.join(dealt(b), "polygon_id").join(dealt(n), "polygon_id").where("b - a > 1 AND b - a < n - 1").drop("n")
 
 
 def crossing(cuts: DataFrame, polygons: DataFrame) -> DataFrame:
@@ -87,7 +89,7 @@ def crossing(cuts: DataFrame, polygons: DataFrame) -> DataFrame:
     turn = lambda ay, ax, by, bx, cy, cx: (F.col(by) - F.col(ay)) * (F.col(cx) - F.col(ax)) - (F.col(bx) - F.col(ax)) * (F.col(cy) - F.col(ay))
     s = lambda *names: F.signum(turn(*names).cast("double"))
     hit = (s("y0", "x0", "y1", "x1", "ey", "ex") * s("y0", "x0", "y1", "x1", "fy", "fx") < 0) & (s("ey", "ex", "fy", "fx", "y0", "x0") * s("ey", "ex", "fy", "fx", "y1", "x1") < 0)
-    return cuts.join(e, "polygon_id").groupBy("polygon_id", "a", "b").agg(F.sum(hit.cast("int")).alias("crossings"))
+    return cuts.join(dealt(e), "polygon_id").groupBy("polygon_id", "a", "b").agg(F.sum(hit.cast("int")).alias("crossings"))
 
 
 def middle_inside(cuts: DataFrame, polygons: DataFrame) -> DataFrame:
@@ -100,7 +102,7 @@ def middle_inside(cuts: DataFrame, polygons: DataFrame) -> DataFrame:
     spans = (F.col("ey") > F.col("my")) != (F.col("fy") > F.col("my"))
     side = (F.col("mx") - F.col("ex")) * (F.col("fy") - F.col("ey")) - (F.col("fx") - F.col("ex")) * (F.col("my") - F.col("ey"))
     hit = spans & F.when(F.col("fy") > F.col("ey"), side < 0).otherwise(side > 0)
-    return c.join(e, "polygon_id").groupBy("polygon_id", "a", "b").agg((F.sum(hit.cast("int")) % 2 == 1).alias("inside"))
+    return c.join(dealt(e), "polygon_id").groupBy("polygon_id", "a", "b").agg((F.sum(hit.cast("int")) % 2 == 1).alias("inside"))
 
 
 def cut_scores(polygons: DataFrame) -> DataFrame:
@@ -109,7 +111,7 @@ def cut_scores(polygons: DataFrame) -> DataFrame:
     both = both.unionByName(both.select("polygon_id", F.col("b").alias("a"), F.col("a").alias("b"), F.col("y1").alias("y0"), F.col("x1").alias("x0"), F.col("y0").alias("y1"), F.col("x0").alias("x1")))
     dy, dx = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
     d = F.sqrt((dy * dy + dx * dx).cast("double"))
-    s = both.join(ideal_cuts(polygons).withColumnRenamed("pos", "a"), ["polygon_id", "a"]).where("cy IS NOT NULL")
+    s = both.join(dealt(ideal_cuts(polygons).withColumnRenamed("pos", "a")), ["polygon_id", "a"]).where("cy IS NOT NULL")
     s = s.withColumn("score", F.round(d * (1 - (F.col("cy") * dy + F.col("cx") * dx) / F.when(d > 0, d)), 6)).where("score IS NOT NULL")
     return s.select("polygon_id", "a", "b", "score", F.row_number().over(Window.partitionBy("polygon_id", "a").orderBy("score", "b")).alias("rank"))
 
@@ -302,7 +304,7 @@ def cut_order(polygons: DataFrame) -> DataFrame:
     """
     n = polygons.groupBy("polygon_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     z = corner_cross(polygons).select("polygon_id", F.col("pos").alias("a"), F.round("z", 6).alias("z"))
-    c = cut_scores(polygons).join(z, ["polygon_id", "a"]).join(n, "polygon_id")
+    c = cut_scores(polygons).join(dealt(z), ["polygon_id", "a"]).join(dealt(n), "polygon_id")
     k = F.pmod(F.col("b") - F.col("a"), F.col("n"))
     c = c.withColumn("even", ((k + 1) % 2 == 0) & ((F.col("n") - k + 1) % 2 == 0))
     w = Window.partitionBy("polygon_id")
@@ -332,7 +334,7 @@ def parallel_crossing(cuts: DataFrame, polygons: DataFrame, cos: float = 0.999)
     uy, ux, vy, vx = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"), F.col("fy") - F.col("ey"), F.col("fx") - F.col("ex")
     dot, size = (uy * vy + ux * vx).cast("double"), ((uy * uy + ux * ux) * (vy * vy + vx * vx)).cast("double")
     slanted = dot * dot < F.lit(cos * cos) * size
-    return cuts.join(e, "polygon_id").groupBy("polygon_id", "a", "b").agg(F.sum((hit & slanted).cast("int")).alias("crossings"))
+    return cuts.join(dealt(e), "polygon_id").groupBy("polygon_id", "a", "b").agg(F.sum((hit & slanted).cast("int")).alias("crossings"))
 
 
 def inside_within(cuts: DataFrame, polygons: DataFrame, radius: float) -> DataFrame:
@@ -341,12 +343,12 @@ def inside_within(cuts: DataFrame, polygons: DataFrame, radius: float) -> DataFr
     c = cuts.select("polygon_id", "a", "b", ((F.col("y0") + F.col("y1")) / 2).alias("my"), ((F.col("x0") + F.col("x1")) / 2).alias("mx"))
     ey, ex = F.col("ey1") - F.col("ey0"), F.col("ex1") - F.col("ex0")
     e = e.select("polygon_id", *[F.col(f"{k}{i}").alias(f"e{k}{i}") for k in "yx" for i in "01"])
-    j = c.join(e, "polygon_id")
+    j = c.join(dealt(e), "polygon_id")
     size = (ey * ey + ex * ex).cast("double")
     t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("my") - F.col("ey0")) * ey + (F.col("mx") - F.col("ex0")) * ex) / size))).otherwise(F.lit(0.0))
     dy, dx = F.col("my") - F.col("ey0") - t * ey, F.col("mx") - F.col("ex0") - t * ex
     near = j.groupBy("polygon_id", "a", "b").agg(F.min(F.round(dy * dy + dx * dx, 9)).alias("d2"))
-    return middle_inside(cuts, polygons).join(near, ["polygon_id", "a", "b"]).select("polygon_id", "a", "b", (F.col("inside") | (F.col("d2") <= radius * radius)).alias("inside"))
+    return middle_inside(cuts, polygons).join(dealt(near), ["polygon_id", "a", "b"]).select("polygon_id", "a", "b", (F.col("inside") | (F.col("d2") <= radius * radius)).alias("inside"))
 
 
 def corner_vertices(polygons: DataFrame) -> DataFrame:
@@ -355,7 +357,7 @@ def corner_vertices(polygons: DataFrame) -> DataFrame:
     four = F.explode(F.array(*[F.struct(F.lit(k).alias("corner"), F.col(a).alias("cy"), F.col(b).alias("cx")) for k, (a, b) in enumerate((("y_min", "x_min"), ("y_min", "x_max"), ("y_max", "x_max"), ("y_max", "x_min")))]))
     c = box.select("polygon_id", four.alias("c")).select("polygon_id", "c.*")
     d2 = (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")) + (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx"))
-    best = c.join(polygons, "polygon_id").groupBy("polygon_id", "corner").agg(F.min(F.struct(d2.alias("d2"), "pos", "y", "x")).alias("m"))
+    best = c.join(dealt(polygons), "polygon_id").groupBy("polygon_id", "corner").agg(F.min(F.struct(d2.alias("d2"), "pos", "y", "x")).alias("m"))
     return best.select("polygon_id", "corner", "m.pos", "m.y", "m.x")
 
 

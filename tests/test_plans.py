@@ -3,12 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweft.operators import borders, graphs, holes, points, regions, stencil
+from pixelweft.operators import borders, graphs, holes, points, polygon, regions, stencil
 from pixelweft.plans.fixpoint import settle
+from pixelweft.sources import fixtures
 
 from .test_kernels import grid
 
 IMAGE = [[5, 5, 5, 5, 5, 5], [5, 7, 7, 5, 5, 5], [5, 7, 7, 5, 9, 9], [5, 5, 5, 5, 9, 9], [5, 5, 5, 5, -1, -1]]
+SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +36,13 @@ RASTERS = {
     "cut_holes": lambda rp, b, s, w: holes.cut_holes(rp),
     "complement_parts": lambda rp, b, s, w: regions.complement_parts(rp),
 }
+POLYGONS = {
+    "crossing": lambda p: polygon.crossing(polygon.candidate_cuts(p), p),
+    "inside_within": lambda p: polygon.inside_within(polygon.candidate_cuts(p), p, 1.5),
+    "cut_scores": polygon.cut_scores,
+    "cut_order": polygon.cut_order,
+    "corner_vertices": polygon.corner_vertices,
+}
 
 
 def shuffled(df):
@@ -49,3 +58,8 @@ def shuffled(df):
 @pytest.mark.parametrize("name", RASTERS)
 def test_pixels_are_joined_by_shuffle(raster, name):
     assert shuffled(RASTERS[name](*raster))
+
+
+@pytest.mark.parametrize("name", POLYGONS)
+def test_corners_are_joined_by_shuffle(spark, name):
+    assert shuffled(POLYGONS[name](settle(fixtures.polygons(spark, SMALL), "polygons")))
