@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelweft.schema import dealt
+
 from .polygon import edges as polygon_edges
 
 #: Bits of a pixel in which edges are halved while triangles become quads.
@@ -23,7 +25,7 @@ def rank_bucketed(rows: DataFrame, order: list[str], out: str, bucket: str, widt
     sizes = rows.groupBy("__b").count()
     before = sizes.withColumn("__off", F.coalesce(F.sum("count").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     inner = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1)
-    return inner.join(before, "__b").withColumn(out, (F.col("__off") + F.col("__r")).cast(kind)).drop("__b", "__r", "__off")
+    return inner.join(dealt(before), "__b").withColumn(out, (F.col("__off") + F.col("__r")).cast(kind)).drop("__b", "__r", "__off")
 
 
 def vertices(polygons: DataFrame) -> DataFrame:
@@ -41,8 +43,8 @@ def polygon_vertices(polygons: DataFrame, v: DataFrame) -> DataFrame:
 def polygon_edges_by_id(polygons: DataFrame, v: DataFrame) -> DataFrame:
     """(polygon_id, pos, v_lo, v_hi): the edge that begins at each corner."""
     e = polygon_edges(polygons)
-    e = e.join(v.select(F.col("vertex_id").alias("a"), F.col("y").alias("y0"), F.col("x").alias("x0")), ["y0", "x0"])
-    e = e.join(v.select(F.col("vertex_id").alias("b"), F.col("y").alias("y1"), F.col("x").alias("x1")), ["y1", "x1"])
+    e = e.join(dealt(v.select(F.col("vertex_id").alias("a"), F.col("y").alias("y0"), F.col("x").alias("x0"))), ["y0", "x0"])
+    e = e.join(dealt(v.select(F.col("vertex_id").alias("b"), F.col("y").alias("y1"), F.col("x").alias("x1"))), ["y1", "x1"])
     return e.select("polygon_id", "pos", F.least("a", "b").alias("v_lo"), F.greatest("a", "b").alias("v_hi"))
 
 
@@ -56,7 +58,7 @@ def edges(polygons: DataFrame, v: DataFrame | None = None) -> DataFrame:
 def incidence(polygons: DataFrame) -> DataFrame:
     """(polygon_id, pos, edge_id, degree)."""
     v = vertices(polygons)
-    return polygon_edges_by_id(polygons, v).join(edges(polygons, v), ["v_lo", "v_hi"]).select("polygon_id", "pos", "edge_id", "degree")
+    return polygon_edges_by_id(polygons, v).join(dealt(edges(polygons, v)), ["v_lo", "v_hi"]).select("polygon_id", "pos", "edge_id", "degree")
 
 
 def void_polygons(polygons: DataFrame) -> DataFrame:
@@ -68,8 +70,8 @@ def neighbors(polygons: DataFrame) -> DataFrame:
     """(polygon_id, pos, neighbor_id): across each edge, null at the rim."""
     i = incidence(polygons)
     other = i.select("edge_id", F.col("polygon_id").alias("neighbor_id"))
-    both = i.join(other, "edge_id").where("polygon_id <> neighbor_id").select("polygon_id", "pos", "neighbor_id")
-    return i.select("polygon_id", "pos").join(both, ["polygon_id", "pos"], "left")
+    both = i.join(dealt(other), "edge_id").where("polygon_id <> neighbor_id").select("polygon_id", "pos", "neighbor_id")
+    return i.select("polygon_id", "pos").join(dealt(both), ["polygon_id", "pos"], "left")
 
 
 def containing(polygons: DataFrame, points: DataFrame, n: int) -> DataFrame:

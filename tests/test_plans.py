@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweft.operators import borders, graphs, holes, points, polygon, regions, stencil
+from pixelweft.operators import borders, graphs, holes, mesh, points, polygon, regions, stencil
 from pixelweft.plans.fixpoint import settle
 from pixelweft.sources import fixtures
 
@@ -63,3 +63,7 @@ def test_pixels_are_joined_by_shuffle(raster, name):
 @pytest.mark.parametrize("name", POLYGONS)
 def test_corners_are_joined_by_shuffle(spark, name):
     assert shuffled(POLYGONS[name](settle(fixtures.polygons(spark, SMALL), "polygons")))
+
+
+def test_mesh_edges_are_joined_by_shuffle(spark):
+    assert shuffled(mesh.neighbors(settle(fixtures.quads(spark, SMALL), "quads")))
