@@ -40,9 +40,9 @@ CELL_LIMITS = frozenset("td th caption table button object template".split())
 SECTIONS = frozenset("thead tbody tfoot".split())
 TABLE_PARTS = SECTIONS | frozenset("table tr".split())
 TABLE_TAGS = SECTIONS | frozenset("tr td th caption colgroup col".split())
-#: Largest spans that count. Cells wider than CELL_WIDTH don't widen their column; a table that would take more than
-#: ROOM times its own characters when aligned is written without padding.
-COLSPAN, ROWSPAN, CELL_WIDTH, ROOM = 1000, 65534, 60, 4
+#: Largest spans that count. Cells wider than CELL_WIDTH don't widen their column, and no text is padded by more than GAP:
+#: what comes after it in its line is aligned again. So a line is the same whatever number of lines its table has.
+COLSPAN, ROWSPAN, CELL_WIDTH, GAP = 1000, 65534, 60, 124
 SPACE = re.compile(r"[ \t\n\r\f\x0b]+")
 _HIDING = re.compile(r"(?:^|[;{\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
@@ -253,10 +253,8 @@ def lay_out(rows: list[list[tuple[list[str], int, int]]]) -> Iterator[str]:
             at += max(1, across)
         placed.append(own)
     widths: dict[int, int] = {}
-    cells, room = 0, 0
     for own in placed:
         for at, lines in own:
-            cells += 1 + sum(len(x) - x.count(" ") for x in lines)
             widths[at] = max([widths.get(at, 0), *(w for x in lines if (w := width_of(x)) <= CELL_WIDTH)])
     start, offsets = 0, {}
     for at in sorted(widths):
@@ -270,12 +268,10 @@ def lay_out(rows: list[list[tuple[list[str], int, int]]]) -> Iterator[str]:
                 if x:
                     by_line[j].append((offsets[at], x))
         table += [line for line in by_line if line]
-        room += sum(line[-1][0] for line in by_line if line)
-    aligned = room <= ROOM * cells + 1000
     for line in table:
         text, width = [], 0
         for offset, x in line:
-            gap = max(2 if text else 0, offset - width if aligned else 0)
+            gap = max(2 if text else 0, min(offset - width, GAP))
             text += [" " * gap, x]
             width += gap + width_of(x)
         yield "".join(text).rstrip()

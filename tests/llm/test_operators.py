@@ -310,6 +310,14 @@ def test_html_of_large_tables_stays_small():
     assert len(text) < 2 * len(wide) and text.count("x") == 500 and text.count("c") == 3000
 
 
+def test_html_lines_of_a_table_dont_depend_on_its_size():
+    head = "<table><tr>" + f"<td>{'h' * 30}" * 4 + "</tr>"
+    sparse = lambda n: htmltext.html_to_text(head + "<tr><td colspan=3><td>x</tr>" * n + "</table>").split("\n")
+    assert sparse(3)[1] == sparse(300)[1] == sparse(300)[-1] == " " * 96 + "x"
+    far = htmltext.html_to_text("<table><tr>" + f"<td>{'h' * 30}" * 9 + "</tr><tr><td colspan=7><td>x<td>y</tr></table>").split("\n")
+    assert far[1] == " " * 124 + "x" + " " * 124 + "y"
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_html_keeps_every_visible_word_once(seed):
     rng = random.Random(seed)
