@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pixelweft.plans.fixpoint import UNMARKED
+
 #: What the word pattern treats as a word, for Java regular expressions and for bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -42,11 +44,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it again: lineage ends there, and losing an executor loses nothing."""
+def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Writes a table into the shared folder and reads it again: lineage ends there, and losing an executor loses nothing.
+
+    files: at most so many files, for tables that are small (`files_for`).
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name) + "/table"
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.options(**UNMARKED).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweft.plans.fixpoint import connected_components
+from pixelweft.plans.fixpoint import connected_components, files_for
 
 from .common import batches, materialize, mix64, prefix_hash, span_hash
 
@@ -426,9 +426,9 @@ def shingle_signatures(docs: DataFrame, similarity: float, width: int, parts: in
     return rows.mapInArrow(run, f"doc_id {kind}, th long, c1 long, c2 long, n long, fp long, keys array<long>")
 
 
-def fingerprint_pairs(classes: DataFrame, radius: int = 3) -> DataFrame:
+def fingerprint_pairs(classes: DataFrame, radius: int = 3, files: int | None = None) -> DataFrame:
     """Pairs (a, b) of classes that the search over fingerprints gives: one for each class but a component's least."""
-    prints = materialize(classes.where("n > 0").groupBy("fp").agg(F.min("cls").alias("first")), "class-fingerprints")
+    prints = materialize(classes.where("n > 0").groupBy("fp").agg(F.min("cls").alias("first")), "class-fingerprints", files)
     same = classes.join(prints, "fp").where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b"))
     x, y = prints.toDF("a", "x"), prints.toDF("b", "y")
     near = links(prints, radius).join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
@@ -508,7 +508,7 @@ def open_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, asked: Dat
         named = named.withColumn("asks", F.lit(True))
     else:
         named = named.join(asked.withColumn("asks", F.lit(True)), "cls", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    named = materialize(named, "members-of-components").repartition("key")
+    named = materialize(named, "members-of-components", files_for(members.count())).repartition("key")
     sizes = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("asks").cast("long")).alias("a"))
     sizes = sizes.groupBy("key").agg(F.sum("c").alias("c"), F.sum("a").alias("a"), F.max(F.struct("c", "comp", "a")).alias("most"), F.count(F.lit(1)).alias("comps"))
     sizes = sizes.where("comps > 1 AND a > most.a").select("key", F.col("most.comp").alias("main"), F.ceil(F.col("c") / room).cast("int").alias("i"), F.ceil((F.col("a") - F.col("most.a")) / room).cast("int").alias("j"))
@@ -573,20 +573,22 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, par
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep")
     classes = signatures.groupBy("c1", "c2").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     classes = materialize(classes.drop("c1", "c2").withColumn("cls", F.monotonically_increasing_id()), "shingle-classes")
+    # Keys are some fifty a class, everything else narrow is about one row a class.
+    few, many = (files_for(k * classes.count()) for k in (1, 50))
     keyed = classes.select(F.explode("keys").alias("key"), "cls").repartition("key")
-    members = materialize(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "key", "left_semi"), "members")
-    pairs = materialize(fingerprint_pairs(classes).union(head_pairs(members)).distinct(), "candidate-pairs")
+    members = materialize(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "key", "left_semi"), "members", many)
+    pairs = materialize(fingerprint_pairs(classes, files=few).union(head_pairs(members)).distinct(), "candidate-pairs", few)
     named = members.select("cls").union(pairs.select(F.explode(F.array("a", "b")))).distinct()
     sets = materialize(sets_of(docs, classes.join(named, "cls", "left_semi"), width), "shingle-sets")
-    edges = materialize(verified(pairs, sets, similarity), "similar-pairs")
-    roots, best, asked = connected_components(edges), None, None
+    edges = materialize(verified(pairs, sets, similarity), "similar-pairs", few)
+    roots, best, asked = connected_components(edges, files=few), None, None
     while True:
-        found = materialize(open_pairs(members, roots, sets, asked, similarity, best), "open-pairs")
+        found = materialize(open_pairs(members, roots, sets, asked, similarity, best), "open-pairs", few)
         some = found.where("b IS NOT NULL")
-        linked = materialize(verified(some.join(pairs, ["a", "b"], "left_anti"), sets, similarity), "similar-pairs")
+        linked = materialize(verified(some.join(pairs, ["a", "b"], "left_anti"), sets, similarity), "similar-pairs", few)
         if not linked.isEmpty():
             edges = edges.union(linked)
-            roots = connected_components(edges)
+            roots = connected_components(edges, files=few)
         if best:
             asked = found.where("b IS NULL").select(F.col("a").alias("cls"))
             if asked.isEmpty():

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelweft.operators import borders, graphs, holes, mesh, points, polygon, regions, stencil
+from pixelweft.plans import fixpoint
 from pixelweft.plans.fixpoint import settle
 from pixelweft.sources import fixtures
 
@@ -67,3 +68,28 @@ def test_corners_are_joined_by_shuffle(spark, name):
 
 def test_mesh_edges_are_joined_by_shuffle(spark):
     assert shuffled(mesh.neighbors(settle(fixtures.quads(spark, SMALL), "quads")))
+
+
+def test_rounds_of_small_tables_have_few_files_and_no_markers(spark, monkeypatch):
+    held, n = [], 3000
+
+    def noted(df, *args, **more):
+        out = settle(df, *args, **more)
+        where, fs = fixpoint._folder(spark, out.scratch + "/table")
+        held.append([f.getPath().getName() for f in fs.listStatus(where)])
+        return out
+
+    monkeypatch.setattr(fixpoint, "settle", noted)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = spark.range(n).select((F.col("id") * 2).alias("a"), (F.col("id") * 2 + 2).alias("b"))
+        roots = {r.node: r.root for r in fixpoint.connected_components(edges, files=24).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert roots == {2 * k: 0 for k in range(n + 1)}
+    assert len(held) > 2
+    assert max(map(len, held)) <= 24
+    assert not [f for names in held for f in names if not f.startswith("part-")]
