@@ -27,7 +27,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, batches, scratch_path
+from .common import Words, batches, reuse_freed, scratch_path
 from .eliasfano import EliasFano, pack, unpack
 
 #: The hash of the end of a text, and by how much counts are discounted.
@@ -306,6 +306,7 @@ def _count_level(docs: DataFrame, level: Level, keys_of: Callable, part_of: Call
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reuse_freed()
         held: tuple[list, list] = ([], [])
         rows = 0
 
@@ -504,6 +505,7 @@ def score(docs: DataFrame, trie: Trie, columns: list[str]) -> DataFrame:
     """The columns named, and n_tokens, n_known, base_score and score of each row's text."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reuse_freed()
         for batch in batches(source, "__text", 4_000_000):
             h, text = tokens(batch.column(batch.num_columns - 1))
             got = trie.score(h, text, batch.num_rows)
