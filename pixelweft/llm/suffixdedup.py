@@ -33,6 +33,8 @@ from .common import _TABLE, batches, prefix_hash, span_hash, text_bytes
 
 #: A byte that UTF-8 never has: stands for what lies beyond a text.
 BEYOND = 0xFF
+#: Contexts that are cut at a time, and bytes of text whose anchors a task holds.
+ROOM, HELD = 1 << 14, 24_000_000
 
 
 # --- 1: anchors ------------------------------------------------------------------------------------------------------
@@ -112,7 +114,7 @@ def _anchor_blobs(length: int, gram: int, parts: int):
             places, h = anchors(data, offsets, length, gram)
             held.append((np.asarray(batch.column(0)).astype(np.int64), np.diff(offsets), places, h))
             size += len(data)
-            if size > 100_000_000:
+            if size > HELD:
                 yield from flush()
                 size = 0
         if held:
@@ -173,10 +175,12 @@ def shard_column(shards: int) -> F.Column:
 def _contexts(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, at: np.ndarray, right: int, left: int) -> np.ndarray:
     """For each place what follows (`right` bytes) and, backwards, what stands before it (`left` bytes)."""
     steps = np.concatenate([np.arange(right), -1 - np.arange(left)])
-    where = at[:, None] + steps
-    ok = (where >= offsets[row][:, None]) & (where < offsets[row + 1][:, None])
-    out = data[np.where(ok, where, 0)] if len(data) else np.zeros(where.shape, np.uint8)
-    out[~ok] = BEYOND
+    out = np.full((len(at), right + left), BEYOND, np.uint8)
+    # The places of all bytes take eight times the room of the bytes: some contexts at a time.
+    for lo in range(0, len(at) if len(data) else 0, ROOM):
+        where, own = at[lo : lo + ROOM, None] + steps, row[lo : lo + ROOM]
+        ok = (where >= offsets[own][:, None]) & (where < offsets[own + 1][:, None])
+        np.copyto(out[lo : lo + ROOM], data[np.where(ok, where, 0)], where=ok)
     return out
 
 
