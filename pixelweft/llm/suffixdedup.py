@@ -63,6 +63,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return places, h[places]
 
 
+def anchor_part(h: np.ndarray, others: int, parts: int) -> np.ndarray:
+    """Ranges of 48-bit anchor hashes that hold about equally many anchors; rises with the hash.
+
+    Anchors are least hashes of `others` + 1 strings, so low ones are common: a string of hash x (of 1) is one if at
+    least `others` neighbours in a row are above it, by a chance of (1 - x)^others * (1 + others * x). This is its integral.
+    """
+    y = 1.0 - (h >> 16).astype(np.float64) / 2.0**32
+    share = 1.0 - ((others + 2) * y ** (others + 1) - others * y ** (others + 2)) / 2
+    return np.clip((share * parts).astype(np.int64), 0, parts - 1)
+
+
 def _narrow(x: np.ndarray) -> bytes:
     """Unsigned numbers at the least width that holds them; the first byte is the width."""
     top = int(x.max(initial=0))
@@ -100,7 +111,7 @@ def _anchor_blobs(length: int, gram: int, parts: int):
             held.clear()
             order = np.argsort(h, kind="stable")
             h, places = h[order], places[order]
-            part = (h.astype(np.float64) * (parts / 2.0**48)).astype(np.int64)
+            part = anchor_part(h, length - gram, parts)
             cuts = np.searchsorted(part, np.arange(parts + 1))
             base = int(ids.min())
             doc = (np.diff(ids, prepend=base).tobytes(), _narrow(sizes))

@@ -1,4 +1,4 @@
-"""Room of arrays: contexts are cut in pieces, and freed arrays are used again."""
+"""Room of arrays: ranges of anchors are equal, contexts are cut in pieces, and freed arrays are used again."""
 
 import subprocess
 import sys
@@ -44,3 +44,11 @@ def test_contexts_take_little_more_room_than_their_bytes():
         after, before = data[a : min(a + 50, hi)], data[max(a - 32, lo) : a][::-1]
         assert keys[k].tobytes() == after.tobytes().ljust(50, b"\xff") + before.tobytes().ljust(32, b"\xff")
     assert len(suffixdedup._contexts(data[:0], offsets[:1], row[:0], at[:0], 50, 32)) == 0
+
+
+def test_ranges_of_anchors_hold_equal_shares():
+    data = np.random.default_rng(6).integers(32, 127, 600_000).astype(np.uint8)
+    _, h = suffixdedup.anchors(data, np.array([0, len(data)]), 50, 18)
+    part = suffixdedup.anchor_part(np.sort(h >> np.uint64(16)), 32, 40)
+    assert (np.diff(part) >= 0).all()
+    assert np.bincount(part, minlength=40).max() < 1.3 * len(h) / 40
